@@ -1,0 +1,6 @@
+"""Registry of the engine's own queries and of the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
