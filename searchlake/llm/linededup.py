@@ -252,7 +252,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_broadcast: int
         yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32())], [*names, "n_removed"])
 
     clean = everything.filter(F.col("__suspects").isNull()).select(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("n_removed"))
-    dirty = everything.filter(F.col("__suspects").isNotNull()).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    # by shuffle at every size; the side built per partition holds only line numbers
+    dirty = everything.filter(F.col("__suspects").isNotNull()).join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     dirty = dirty.select(*[F.col(f"`{c}`") for c in names], "__first", "__suspects")
     return clean.unionByName(map_arrow(dirty, edit, _ddl(schema, "n_removed int")))
 
