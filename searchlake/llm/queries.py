@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup
+from . import decontaminate, linededup, neardup, packing
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,21 @@ def query(oracle: str | None = None):
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the later occurrences of repeated lines."""
     return linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(decontaminate.ORACLE)
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a run of eight words with a benchmark item, by item, with place and extent."""
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window and offset of every document's tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups as lists of document ids."""
+    return neardup.group_lists(neardup.near_groups(read(spark, sf_dir, "documents")))
