@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, neardup, packing
+from . import decontaminate, linededup, neardup, packing, quality
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups as lists of document ids."""
     return neardup.group_lists(neardup.near_groups(read(spark, sf_dir, "documents")))
+
+
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier keeps, with their scores."""
+    return quality.score(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality")
