@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, neardup, packing, quality
+from . import decontaminate, linededup, neardup, packing, quality, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier keeps, with their scores."""
     return quality.score(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality")
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier flags as toxic, with their scores."""
+    return toxicity.find_toxic(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
