@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, neardup, packing, quality, toxicity
+from . import decontaminate, htmltext, kdshard, linededup, neardup, packing, quality, secrets, toxicity, vafile
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,27 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier flags as toxic, with their scores."""
     return toxicity.find_toxic(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return kdshard.shard(read(spark, sf_dir, "documents"))
+
+
+@query(vafile.ORACLE)
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest others of every embedding, exactly."""
+    return vafile.nearest(read(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, along the path that its host's pages agree on."""
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
+@query(secrets.ORACLE)
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of characters in documents that looks like a key."""
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
