@@ -9,6 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidParam
 from ..types import TextOption
@@ -24,17 +25,17 @@ def segments(text: str, everything: bool = False) -> list[str]:
     return [s for s in _SEGMENT.split(text) if s and (everything or _WORD.search(s))]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _segmented(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else segments(t))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _segmented_all(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else segments(t, True))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
 
