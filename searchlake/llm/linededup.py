@@ -148,18 +148,18 @@ def twice_filters(docs: DataFrame, n_slices: int, min_chars: int) -> DataFrame:
 
 
 def _suspects_by_shuffle(docs: DataFrame, filters: DataFrame, n_slices: int, min_chars: int) -> DataFrame:
-    """(doc_id, line numbers) by sending packed line hashes to their slice's filter; for filters too large to broadcast."""
-    schema = "slice int, kind int, filter binary, ids array<bigint>, numbers array<int>, hashes binary"
+    """(doc_id, hash of the text, line numbers) by sending packed line hashes to their slice's filter; for filters too large to broadcast."""
+    schema = "slice int, kind int, filter binary, ids array<bigint>, bodies array<bigint>, numbers array<int>, hashes binary"
 
     def hashes(batch):
-        ids = batch.column("doc_id")
+        ids, bodies = batch.column("doc_id"), batch.column("body")
         for lo, _, data, offs in texts(batch.column("text")):
             row, number, _, _, h = lines(data, offs, min_chars)
-            own = ids.take(pa.array(row + lo))
-            out = [(k, 1, None, own.take(pa.array(p)).to_pylist(), number[p].tolist(), h[p].tobytes()) for k, p in _groups(_slice(h, n_slices))]
+            own, body = ids.take(pa.array(row + lo)), bodies.take(pa.array(row + lo))
+            out = [(k, 1, None, own.take(pa.array(p)).to_pylist(), body.take(pa.array(p)).to_pylist(), number[p].tolist(), h[p].tobytes()) for k, p in _groups(_slice(h, n_slices))]
             if out:
-                types = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["slice", "kind", "filter", "ids", "numbers", "hashes"])
+                types = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["slice", "kind", "filter", "ids", "bodies", "numbers", "hashes"])
 
     def test(batches):
         now: dict[int, np.ndarray] = {}
@@ -171,13 +171,13 @@ def _suspects_by_shuffle(docs: DataFrame, filters: DataFrame, n_slices: int, min
                 h = np.frombuffer(r["hashes"], np.uint64)
                 at = np.flatnonzero(in_packed(now, np.full(len(h), r["slice"]), h))
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([r["ids"][i] for i in at], pa.int64()), pa.array([r["numbers"][i] for i in at], pa.int32())], ["doc_id", "number"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r["ids"][i] for i in at], pa.int64()), pa.array([r["bodies"][i] for i in at], pa.int64()), pa.array([r["numbers"][i] for i in at], pa.int32())], ["doc_id", "body", "number"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = map_arrow(docs.select("doc_id", "text"), hashes, schema)
-    own = filters.select("slice", F.lit(0).alias("kind"), "filter", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("array<int>").alias("numbers"), F.lit(None).cast("binary").alias("hashes"))
-    found = own.unionByName(sent).repartition(parts, "slice").sortWithinPartitions("slice", "kind").mapInArrow(test, "doc_id bigint, number int")
-    return found.groupBy("doc_id").agg(F.collect_set("number").alias("__suspects"))
+    sent = map_arrow(docs.select("doc_id", "text", "body"), hashes, schema)
+    own = filters.select("slice", F.lit(0).alias("kind"), "filter", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("array<bigint>").alias("bodies"), F.lit(None).cast("array<int>").alias("numbers"), F.lit(None).cast("binary").alias("hashes"))
+    found = own.unionByName(sent).repartition(parts, "slice").sortWithinPartitions("slice", "kind").mapInArrow(test, "doc_id bigint, body bigint, number int")
+    return found.groupBy("doc_id", "body").agg(F.collect_set("number").alias("__suspects"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -228,12 +228,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_broadcast: int
 
         everything = map_arrow(docs, marked, _ddl(schema, "__suspects array<int>"))
     else:
-        numbers = scratch.save(_suspects_by_shuffle(key.select(F.col("doc_id").cast("bigint"), "text"), filters, n_slices, min_chars))
-        held = key.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(numbers, F.col("__id").eqNullSafe(F.col("doc_id")))
-        each = held.select(F.col("__id").cast("bigint").alias("doc_id"), "__text", F.explode("__suspects").alias("number"))
+        # rows are found again by id and hash of the text, since ids may repeat or be null
+        found = _suspects_by_shuffle(key.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("body")), filters, n_slices, min_chars)
+        numbers = scratch.save(found.withColumnsRenamed({"doc_id": "__id", "body": "__body"}))
+        own = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__body"))
+        held = key.join(numbers, own)
+        each = held.select(F.col("__id").alias("doc_id"), F.col("text").alias("__text"), F.explode("__suspects").alias("number"))
         suspects = each.select("doc_id", "number", F.trim(F.element_at(F.split("__text", "\n", -1), F.col("number") + 1)).alias("line"))
         suspects = suspects.withColumn("line", F.expr(r"trim(BOTH ' \t\r' FROM line)"))
-        everything = docs.join(numbers.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+        everything = docs.join(numbers, own, "left").drop("__id", "__body")
 
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("number").alias("l"))
     firsts = suspects.groupBy("line").agg(F.min(order).alias("at"))
