@@ -25,6 +25,7 @@ class GramSet:
 
     def __init__(self, items: list[tuple[int, str]], n: int, min_words: int):
         self.words: dict[int, dict[int, dict[bytes, list[int]]]] = {}
+        self._index = None
         for item, text in items:
             for _, _, data, offs in texts(lowered(pa.array([text], pa.string()))):
                 s, e, _ = words(data, offs)
@@ -38,8 +39,10 @@ class GramSet:
                         owners.append(item)
 
     def index(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By gram size: a bitmap over the hashes' low bits, and the sorted hashes."""
-        out = {}
+        """By gram size: a bitmap over the hashes' low bits, and the sorted hashes; made once in each Python worker."""
+        if self._index is not None:
+            return self._index
+        self._index = out = {}
         for size, own in self.words.items():
             h = np.sort(np.fromiter(own, np.uint64, len(own)))
             bits = max(16, (16 * len(h)).bit_length())

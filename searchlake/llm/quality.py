@@ -200,7 +200,7 @@ def _sparse(data, offs, stats, h, row_offs, bins):
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, bins: int = BINS) -> tuple[LabelModel, Scorer]:
-    """Fit the label model on the vote patterns of all documents, and the scorer on about sample_rows of them."""
+    """Fit the label model on the vote patterns of all documents, and the scorer on at most sample_rows of them, those of least hash."""
 
     def patterns(batch):
         got = np.zeros(3 ** len(LABELLERS), np.int64)
@@ -214,20 +214,24 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, bins: int = BINS) ->
     pattern, n = np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], np.int64)
     model = LabelModel().fit(pattern, n)
 
-    share = min(1.0, sample_rows / max(1, n.sum()))
+    # twice the share, so that the rows of least hash are there; their number is bounded whatever repeats
+    share = min(1.0, 2 * sample_rows / max(1, n.sum()))
 
     def sample(batch):
-        out = []
-        for _, _, data, offs in texts(batch.column(0)):
+        out, key = [], batch.column(1).to_pylist()
+        for lo, _, data, offs in texts(batch.column(0)):
             stats, h, row_offs, present = statistics(data, offs)
             v = votes(stats, present)
-            out += [(int(v[k]), c, x) for k, (c, x) in enumerate(_sparse(data, offs, stats, h, row_offs, bins)) if present[k]]
+            out += [(key[lo + k], int(v[k]), c, x) for k, (c, x) in enumerate(_sparse(data, offs, stats, h, row_offs, bins)) if present[k]]
         if out:
-            v, c, x = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32()), pa.array(c, pa.binary()), pa.array(x, pa.binary())], ["pattern", "cols", "vals"])
-
-    chosen = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = sorted(map(tuple, map_arrow(chosen, sample, "pattern int, cols binary, vals binary").collect()))
+            at, v, c, x = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(v, pa.int32()), pa.array(c, pa.binary()), pa.array(x, pa.binary())], ["h", "pattern", "cols", "vals"])
+
+    key = F.xxhash64("text", F.col("doc_id") if "doc_id" in docs.columns else F.lit(0))
+    chosen = docs.select(key.alias("h"), "text").filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    chosen = chosen.withColumn("h", F.pmod("h", F.lit(1 << 20))).select("text", "h")
+    taken = map_arrow(chosen, sample, "h bigint, pattern int, cols binary, vals binary").orderBy("h", "pattern", "cols", "vals").limit(sample_rows)
+    rows = sorted(map(tuple, taken.select("pattern", "cols", "vals").collect()))
     y = model.posterior(np.array([r[0] for r in rows], np.int64)) if rows else np.zeros(0)
     return model, Scorer(bins).fit([(r[1], r[2]) for r in rows], y)
 
@@ -235,8 +239,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, bins: int = BINS) ->
 def score(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, bins: int = BINS, threshold: float = THRESHOLD, keep_only: bool = True) -> DataFrame:
     """docs with a column quality (double, six digits); with keep_only, those of at least threshold.
 
-    The label model counts all documents; the scorer is fitted on those whose text hashes into
-    a share that gives about sample_rows. Null, empty and wordless texts score 0. Equal texts
+    The label model counts all documents; the scorer is fitted on at most sample_rows of them,
+    chosen by the hash of text and id. Null, empty and wordless texts score 0. Equal texts
     score alike. All other columns pass through; an existing quality column is replaced.
     """
     docs = docs.drop("quality")
