@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch, where the session sets no bound: ten thousand rows of long texts would not fit in a worker.
+BATCH_BYTES, _BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _ODD = 0x9E3779B97F4A7C15
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -76,7 +78,10 @@ def _clear_scratch() -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow of a function from one batch to several."""
+    """mapInArrow of a function from one batch to several, of bounded size unless the session says otherwise."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF) == "67108864b":  # Spark's default
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
     def run(batches):
         for b in batches:
