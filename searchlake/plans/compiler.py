@@ -21,7 +21,6 @@ from ..types import FieldType
 from .ir import And, Between, InList, Knn, Node, Not, Or, Phrase, Search, Term, Text
 
 K1, B = 1.2, 0.75
-FALSE = F.lit(False)
 
 
 def bm25(tf: Column, df: Column, n: Column, length: Column, mean_length: Column) -> Column:
@@ -93,8 +92,8 @@ class Compiler:
         if name in self.analyzers:
             raise NotSupported(f"{name} is a text field: only = matches it")
         if isinstance(kind, T.ArrayType):
-            return F.coalesce(F.exists(col, lambda x: test(x, kind.elementType)), FALSE)
-        return F.coalesce(test(col, kind), FALSE)
+            return F.coalesce(F.exists(col, lambda x: test(x, kind.elementType)), F.lit(False))
+        return F.coalesce(test(col, kind), F.lit(False))
 
     # Text
 
@@ -173,7 +172,7 @@ class Compiler:
         if isinstance(n, Term):
             match = self._leaf(n.field, lambda x, kind: x == self._literal(n.value, kind))
         elif isinstance(n, InList):
-            match = self._leaf(n.field, lambda x, kind: x.isin(*[self._literal(v, kind) for v in n.values]) if n.values else FALSE)
+            match = self._leaf(n.field, lambda x, kind: x.isin(*[self._literal(v, kind) for v in n.values]) if n.values else F.lit(False))
         else:
             match = self._leaf(n.field, lambda x, kind: self._range(n, x, kind))
         return (~match if n.negated else match), F.lit(float(n.boost))
@@ -197,7 +196,7 @@ class Compiler:
     def _text(self, n: Text) -> tuple[Column, Column]:
         groups = self._analysed(n)
         if not groups:
-            return FALSE, F.lit(0.0)
+            return F.lit(False), F.lit(0.0)
         any_of = [reduce(lambda a, b: a | b, [F.col(f"__tf{self.slots[n.field, t]}") > 0 for t in g]) for g in groups]
         match = reduce((lambda a, b: a & b) if n.operator == "and" else (lambda a, b: a | b), any_of)
         return match, self._bm25(n.field, list(dict.fromkeys(t for g in groups for t in g)), n.boost)
@@ -205,7 +204,7 @@ class Compiler:
     def _phrase(self, n: Phrase) -> tuple[Column, Column]:
         groups = self._analysed(n)
         if not groups:
-            return FALSE, F.lit(0.0)
+            return F.lit(False), F.lit(0.0)
         # the cheap counts come first, the walk over positions only where all tokens are there
         have = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.col(f"__tf{self.slots[n.field, t]}") > 0 for t in g]) for g in groups])
         places = [F.array_sort(F.flatten(F.array(*[F.col(f"__pos{self.slots[n.field, t]}") for t in g]))) if len(g) > 1 else F.col(f"__pos{self.slots[n.field, g[0]]}") for g in groups]
