@@ -1,7 +1,8 @@
 """Graph indexes, HNSW and satellite-system graphs: one graph for each shard, all shards searched.
 
 A shard is a bounded number of vectors, so graphs stay in a task's memory at any size of the
-collection; a search asks every shard and merges. Graphs are stored as rows of a table.
+collection; a search asks every shard and merges. Graphs are built once, and stored as rows of a
+table; queries are a distributed table, of which every shard is sent all, in parts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from .vector_index import RESULT, best, collected
+from ..scratch import written
+from .vector_index import best, exact, meet, packed, part_of, parts_for, valid_queries
 
 SHARD_ROWS = 50_000
 
@@ -195,42 +197,41 @@ class GraphIndex:
             return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "graph": pa.array([graph.dump()], pa.binary())})
 
         sharded = rows.withColumn("shard", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int"))
-        return cls(sharded.groupBy("shard").applyInArrow(one, "shard int, graph binary"), kind)
+        return cls(written(sharded.groupBy("shard").applyInArrow(one, "shard int, graph binary"), "graph"), kind)
 
     def search(self, queries: DataFrame, k: int, ef: int = 100, allowed: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
-        """With a filter, the beam widens until it holds k allowed points or the whole shard."""
-        q_ids, q = collected(queries)
-        maker, spark = KINDS[self.kind], self.graphs.sparkSession
-        shared = spark.sparkContext.broadcast((q_ids, q))
-        width = max(k, ef)
-        if allowed is None and deleted is None:
-
-            def run(batches):
-                q_ids, q = shared.value
-                for b in batches:
-                    for raw in b.column(0):
-                        g = maker.load(raw.as_py())
-                        rows = [(a, int(g.ids[j]), d) for a, v in zip(q_ids.tolist(), q) for d, j in g.search(v, k, width)]
-                        if rows:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "_id", "distance"])
+        """With a filter, the allowed points of each shard are ranked exactly: a beam that holds k of them widens to most of a shard."""
+        maker, width = KINDS[self.kind], max(k, ef)
+        shards = [r[0] for r in self.graphs.select("shard").distinct().collect()]
+        valid = valid_queries(queries)
+        parts = parts_for(queries, max(1, len(shards)), max(1, len(shards)))
+        each = valid.withColumn("cell", F.explode(F.array(*map(F.lit, shards)).cast("array<int>")))
+        asks = packed(each.select(part_of(parts), "cell", "_id", "v", F.lit(None).alias("more")))
+
+        def walk(near, shard, q, ids, raw, more):
+            g = maker.load(raw)
+            for at, v in enumerate(q):
+                if len(v) == g.x.shape[1] and (found := g.search(v, k, width)):
+                    d, j = map(np.array, zip(*found))
+                    near.take(np.full(len(d), at), g.ids[j], d)
 
-            return best(self.graphs.select("graph").mapInArrow(run, RESULT), k)
+        if allowed is None and deleted is None:
+            data = self.graphs.select(F.col("shard").cast("bigint").alias("cell"), F.lit(None).cast("binary").alias("ids"), F.col("graph").alias("vectors"), F.lit(None).cast("binary").alias("more"))
+            return best(meet(asks, data, parts, parts * len(shards), k, walk), k)
 
-        def wide(batches):
-            q_ids, q = shared.value
+        def points(batches):
             for b in batches:
-                for raw in b.column(0):
+                for shard, raw in zip(b.column(0).to_pylist(), b.column(1)):
                     g = maker.load(raw.as_py())
-                    rows = [(a, int(g.ids[j]), d) for a, v in zip(q_ids.tolist(), q) for d, j in g.search(v, len(g.ids), len(g.ids))]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "_id", "distance"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g.ids), shard, np.int32)), pa.array(g.ids), pa.array(g.x.tolist(), pa.list_(pa.float64()))], ["cell", "_id", "v"])
 
-        found = self.graphs.select("graph").mapInArrow(wide, RESULT)
+        rows = self.graphs.select("shard", "graph").mapInArrow(points, "cell int, _id bigint, v array<double>")
         if allowed is not None:
-            found = found.join(allowed.select("_id"), "_id", "left_semi")
+            rows = rows.join(allowed.select("_id"), "_id", "left_semi")
         if deleted is not None:
-            found = found.join(deleted.select("_id"), "_id", "left_anti")
-        return best(found.select("query_id", "_id", "distance"), k)
+            rows = rows.join(deleted.select("_id"), "_id", "left_anti")
+        data = packed(rows.select(F.lit(0).alias("part"), "cell", "_id", "v", F.lit(None).alias("more")))
+        return best(meet(asks, data, parts, parts * len(shards), k, exact("euclidean")), k)
 
     def save(self, path: str) -> None:
         self.graphs.write.mode("overwrite").parquet(path)

@@ -1,13 +1,15 @@
 """Nearest-neighbour indexes: exact, inverted file, product quantisation, both, and random-projection hashing.
 
 All of them answer a table of queries (query_id, vector) with (query_id, _id, distance, rank).
-Queries are broadcast, so their number is checked; filters are DataFrame filters on the base
-and come before any ranking.
+Queries are a distributed table like the base: both are packed into blocks, and each block of
+vectors goes to every task that holds queries for it. Queries without a vector, or with null, NaN
+or infinite elements, are left out. Filters are DataFrame filters on the base and come before any
+ranking.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,8 @@ from pyspark.sql.window import Window
 from ..errors import InvalidParam
 from ..functions import vectors
 
-MAX_QUERIES = 100_000
+#: Vectors in a block, queries that are ranked at a time, and queries that a task holds at most, on average.
+BLOCK, SLICE, HELD = 4096, 256, 65_536
 RESULT = "query_id bigint, _id bigint, distance double"
 
 
@@ -43,12 +46,133 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     raise InvalidParam(f"metric {metric!r}: one of {vectors.METRICS}")
 
 
-def collected(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Query ids and vectors on the driver; more than MAX_QUERIES are refused, and belong into several calls."""
-    rows = queries.select(F.col("query_id").cast("bigint"), F.col("vector").cast("array<double>")).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise InvalidParam(f"more than {MAX_QUERIES} queries")
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+def valid_queries(queries: DataFrame, dim: int | None = None) -> DataFrame:
+    """(_id, v): the queries that can be answered."""
+    rows = queries.select(F.col("query_id").cast("bigint").alias("_id"), F.col("vector").cast("array<double>").alias("v"))
+    return rows.filter(vectors.is_valid(F.col("v"), dim) & (F.size("v") > 0))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(part, cell, _id, v, more) as (part, cell, ids, vectors, more): up to BLOCK rows of one part and cell in each; more is binary, of equal length."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part, cell, ids = (b.column(k).to_numpy() for k in range(3))
+            order = np.lexsort((cell, part))
+            cuts = np.flatnonzero((np.diff(part[order]) != 0) | (np.diff(cell[order]) != 0)) + 1
+            for group in np.split(order, cuts):
+                for lo in range(0, len(group), BLOCK):
+                    at = group[lo : lo + BLOCK]
+                    v, more = np.asarray(b.column(3).take(pa.array(at)).flatten()), b.column(4).take(pa.array(at))
+                    cols = [pa.array(part[at[:1]]), pa.array(cell[at[:1]]), pa.array([ids[at].tobytes()]), pa.array([v.tobytes()]), pa.array([b"".join(more.to_pylist())], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["part", "cell", "ids", "vectors", "more"])
+
+    return rows.select(F.col("part").cast("int"), F.col("cell").cast("bigint"), "_id", "v", F.coalesce(F.col("more").cast("binary"), F.lit(b"")).alias("more")).mapInArrow(run, "part int, cell bigint, ids binary, vectors binary, more binary")
+
+
+class Nearest:
+    """The k nearest found so far of some queries, by (distance, id)."""
+
+    def __init__(self, q_ids: np.ndarray, k: int):
+        self.q_ids, self.k, self.kth = q_ids, k, np.full(len(q_ids), np.inf)
+        self.row, self.dist, self.who = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, lo: int, ids: np.ndarray, d: np.ndarray) -> None:
+        """Distances of the queries from number lo on to the vectors of these ids; what is not finite is no neighbour."""
+        if not d.size:
+            return
+        d = np.where(np.isnan(d), np.inf, d)
+        limit = self.kth[lo : lo + len(d)]
+        if self.k < d.shape[1]:
+            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        self.take(row + lo, ids[col], d[row, col])
+
+    def take(self, row: np.ndarray, who: np.ndarray, dist: np.ndarray) -> None:
+        touched = np.zeros(len(self.q_ids), bool)
+        touched[row] = True
+        old = touched[self.row]
+        r, d, w = (np.concatenate([a[old], b]) for a, b in ((self.row, row), (self.dist, dist), (self.who, who)))
+        order = np.lexsort((w, d, r))
+        r, d, w = r[order], d[order], w[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        last = place == self.k - 1
+        self.kth[r[last]] = d[last]
+        keep = place < self.k
+        self.row, self.dist, self.who = (np.concatenate([a[~old], b[keep]]) for a, b in ((self.row, r), (self.dist, d), (self.who, w)))
+
+    def result(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.q_ids[self.row]), pa.array(self.who), pa.array(self.dist)], ["query_id", "_id", "distance"])
+
+
+def parts_for(queries: DataFrame, cells: int, asked: int = 1) -> int:
+    """Into how many parts the queries are split: enough for all cores, and for what a task holds. asked: cells of each query."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-2 * cores // cells), -(-queries.count() * asked // (cells * HELD)))
+
+
+def meet(asks: DataFrame, data: DataFrame, parts: int, tasks: int, k: int, rank: Callable) -> DataFrame:
+    """(query_id, _id, distance): the k nearest of each query in each cell.
+
+    asks and data are packed; data goes to every part. rank(near, cell, q, ids, vectors, more)
+    adds one block to what was found; ids, vectors and more are buffers.
+    """
+    one = asks.select("part", "cell", F.lit(0).alias("kind"), "ids", "vectors", "more")
+    other = data.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "cell", F.lit(1).alias("kind"), "ids", "vectors", "more")
+
+    def run(batches):
+        key, held, q, near = None, [], None, None
+        for b in batches:
+            for r in range(b.num_rows):
+                now = (b.column(0)[r].as_py(), b.column(1)[r].as_py())
+                ids, v, more = (b.column(c)[r].as_py() for c in (3, 4, 5))
+                if now != key:
+                    if near is not None:
+                        yield near.result()
+                    key, held, near = now, [], None
+                if b.column(2)[r].as_py() == 0:
+                    held.append((np.frombuffer(ids, np.int64), v))
+                elif held:
+                    if near is None:
+                        near = Nearest(np.concatenate([h[0] for h in held]), k)
+                        q = np.concatenate([np.frombuffer(h[1]).reshape(len(h[0]), -1) for h in held])
+                    rank(near, now[1], q, ids, v, more)
+        if near is not None:
+            yield near.result()
+
+    return one.unionByName(other).repartition(min(max(tasks, 1), 4096), "part", "cell").sortWithinPartitions("part", "cell", "kind").mapInArrow(run, RESULT)
+
+
+def exact(metric: str) -> Callable:
+    """For meet(): ranks every vector of a block."""
+
+    def rank(near, cell, q, ids, raw, more):
+        ids = np.frombuffer(ids, np.int64)
+        x = np.frombuffer(raw).reshape(len(ids), -1)
+        for lo in range(0, len(q), SLICE):
+            near.add(lo, ids, distances(q[lo : lo + SLICE], x, metric))
+
+    return rank
+
+
+def part_of(parts: int):
+    return F.pmod(F.xxhash64("_id"), F.lit(parts)).alias("part")
+
+
+def nearest_cells(rows: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
+    """(cell, _id, v): every vector once for each of its n nearest centres."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
+                order = np.argsort(distances(x, centres, "euclidean"), axis=1, kind="stable")[:, :n]
+                at = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], ["cell", "_id", "v"])
+
+    return rows.select("_id", "v").mapInArrow(run, "cell int, _id bigint, v array<double>")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -57,39 +181,19 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _rows(ids, q_ids, d, k) -> Iterator[pa.RecordBatch]:
-    """The k least of each row of distances, as batches of results."""
-    n = min(k, d.shape[1])
-    d = np.where(np.isnan(d), np.inf, d)
-    part = np.argpartition(d, n - 1, axis=1)[:, :n] if n < d.shape[1] else np.tile(np.arange(n), (len(d), 1))
-    limit = np.take_along_axis(d, part, axis=1).max(axis=1)
-    row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))  # with all ties at the limit
-    yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[col]), pa.array(d[row, col])], ["query_id", "_id", "distance"])
-
-
 class FlatIndex:
-    """Exact search: matrix products over every partition, the best of each merged."""
+    """Exact search: matrix products of blocks. Only vectors of the query's own dimension are compared."""
 
     def __init__(self, df: DataFrame, id_col: str = "_id", vector_col: str = "vector", metric: str = "euclidean"):
         self.df = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vector_col).cast("array<double>").alias("v"), *[c for c in df.columns if c not in ("_id", "v", id_col, vector_col)])
         self.metric = metric
 
     def search(self, queries: DataFrame, k: int, where=None) -> DataFrame:
-        q_ids, q = collected(queries)
-        shared, metric = self.df.sparkSession.sparkContext.broadcast((q_ids, q)), self.metric
         rows = self.df if where is None else self.df.filter(where)
-
-        def run(batches):
-            q_ids, q = shared.value
-            for b in batches:
-                if b.num_rows and len(q):
-                    x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-                    ids = b.column(0).to_numpy()
-                    for lo in range(0, len(q), 256):
-                        yield from _rows(ids, q_ids[lo : lo + 256], distances(q[lo : lo + 256], x, metric), k)
-
-        valid = rows.filter(vectors.is_valid(F.col("v"), q.shape[1] if len(q) else None)).select("_id", "v")
-        return best(valid.mapInArrow(run, RESULT), k)
+        asks, parts = valid_queries(queries), parts_for(queries, 1)
+        asks = packed(asks.select(part_of(parts), F.size("v").alias("cell"), "_id", "v", F.lit(None).alias("more")))
+        data = packed(rows.filter(vectors.is_valid(F.col("v"))).select(F.lit(0).alias("part"), F.size("v").alias("cell"), "_id", "v", F.lit(None).alias("more")))
+        return best(meet(asks, data, parts, parts, k, exact(self.metric)), k)
 
 
 def knn_graph(df: DataFrame, k: int, id_col: str = "_id", vector_col: str = "vector", metric: str = "euclidean") -> DataFrame:
@@ -162,32 +266,22 @@ class IvfIndex:
 
     def search(self, queries: DataFrame, k: int, probes: int = 8, allowed: DataFrame | None = None) -> DataFrame:
         """allowed: a DataFrame of _id that may be found."""
-        q_ids, q = collected(queries)
-        order = np.argsort(distances(q, self.centres, "euclidean"), axis=1)[:, :probes]
-        rows = self.rows.filter(F.col("cell").isin(sorted(set(order.ravel().tolist()))))
-        if allowed is not None:
-            rows = rows.join(allowed.select("_id"), "_id", "left_semi")
-        shared = self.rows.sparkSession.sparkContext.broadcast((q_ids, q, order, self.centres, self.books))
-
-        def run(batches):
-            q_ids, q, order, centres, books = shared.value
-            for b in batches:
-                cell, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-                for c in np.unique(cell):
-                    asks, at = np.flatnonzero((order == c).any(axis=1)), np.flatnonzero(cell == c)
-                    if not len(asks):
-                        continue
-                    if books is None:
-                        x = np.asarray(b.column(2).flatten()).reshape(b.num_rows, -1)[at]
-                        d = distances(q[asks], x, "euclidean")
-                    else:
-                        codes = np.frombuffer(b"".join(b.column(2).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
-                        r = (q[asks] - centres[c]).reshape(len(asks), len(books), -1)
-                        table = ((r[:, :, None, :] - books[None]) ** 2).sum(-1)
-                        d = sum(table[:, s, :][:, codes[:, s]] for s in range(len(books)))
-                    yield from _rows(ids[at], q_ids[asks], d, k)
-
-        return best(rows.select("cell", "_id", rows.columns[-1] if self.books is not None else "v").mapInArrow(run, RESULT), k)
+        rows = self.rows if allowed is None else self.rows.join(allowed.select("_id"), "_id", "left_semi")
+        centres, books, n = self.centres, self.books, len(self.centres)
+        parts = parts_for(queries, n, min(probes, n))
+        asks = nearest_cells(valid_queries(queries, centres.shape[1]), centres, probes)
+        asks = packed(asks.select(part_of(parts), "cell", "_id", "v", F.lit(None).alias("more")))
+        data = rows.select(F.lit(0).alias("part"), "cell", "_id", *(["v", F.lit(None).alias("more")] if books is None else [F.array().cast("array<double>").alias("v"), F.col("code").alias("more")]))
+
+        def by_code(near, cell, q, ids, raw, more):
+            ids = np.frombuffer(ids, np.int64)
+            codes = np.frombuffer(more, np.uint8).reshape(len(ids), -1)
+            for lo in range(0, len(q), SLICE):
+                r = (q[lo : lo + SLICE] - centres[cell]).reshape(-1, len(books), books.shape[2])
+                table = ((r[:, :, None, :] - books[None]) ** 2).sum(-1)
+                near.add(lo, ids, sum(table[:, s, :][:, codes[:, s]] for s in range(len(books))))
+
+        return best(meet(asks, packed(data), parts, parts * n, k, exact("euclidean") if books is None else by_code), k)
 
     def save(self, path: str) -> None:
         self.rows.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
@@ -210,12 +304,14 @@ def lsh_search(df: DataFrame, queries: DataFrame, k: int, id_col: str = "_id", v
     """Random-projection hashing: candidates share a bucket with the query in some table, and are ranked exactly."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
 
-    base = df.select(F.col(id_col).cast("bigint").alias("_id"), array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"), F.col(vector_col).alias("v"))
-    asks = queries.select(F.col("query_id").cast("bigint").alias("query_id"), array_to_vector(F.col("vector").cast("array<double>")).alias("features"), F.col("vector").alias("q"))
+    base = df.filter(vectors.is_valid(F.col(vector_col))).select(F.col(id_col).cast("bigint").alias("_id"), array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"), F.col(vector_col).alias("v"))
+    asks = valid_queries(queries).select(F.col("_id").alias("query_id"), array_to_vector("v").alias("features"), F.col("v").alias("q"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(base)
 
-    def keyed(x: DataFrame, *cols: str) -> DataFrame:
-        return model.transform(x).select(*cols, F.posexplode("hashes").alias("t", "h")).select(*cols, "t", F.xxhash64(F.col("h").cast("string")).alias("h"))
+    def keyed(x: DataFrame, i: str, v: str, part) -> DataFrame:
+        hashed = model.transform(x).select(F.col(i).alias("_id"), F.col(v).cast("array<double>").alias("v"), F.posexplode("hashes").alias("t", "h"))
+        return packed(hashed.select(part, F.xxhash64("t", F.col("h").cast("string")).alias("cell"), "_id", "v", F.lit(None).alias("more")))
 
-    pairs = keyed(asks, "query_id", "q").join(keyed(base, "_id", "v"), ["t", "h"]).dropDuplicates(["query_id", "_id"])
-    return best(pairs.select("query_id", "_id", vectors.distance(F.col("q"), F.col("v")).alias("distance")), k)
+    parts = parts_for(asks, 1)
+    found = meet(keyed(asks, "query_id", "q", part_of(parts)), keyed(base, "_id", "v", F.lit(0).alias("part")), parts, parts * tables, k, exact("euclidean"))
+    return best(found.groupBy("query_id", "_id").agg(F.min("distance").alias("distance")), k)

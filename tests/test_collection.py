@@ -14,6 +14,7 @@ from searchlake.operators.vector_index import FlatIndex, IvfIndex, distances
 from searchlake.plans import parser
 from searchlake.plans.compiler import Compiler
 from searchlake.plans.ir import And, Between, InList, Not, Or, Phrase, Term, Text
+from searchlake.queries import QUERIES
 from searchlake.streaming.ingest import ingest
 from searchlake.types import Field, FieldType, Schema, TextOption
 
@@ -104,3 +105,21 @@ def test_vector_indexes_agree_with_brute_force(spark):
 
     assert recall(FlatIndex(df).search(queries, 5)) == 1
     assert recall(IvfIndex.build(df, cells=8).search(queries, 5, probes=8)) == 1
+
+
+def test_every_vector_is_a_query(spark):
+    data = "/root/testdata/sf0.001"
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()}
+    for name in ("flat_search", "ivf_search", "pq_search", "ivfpq_search", "lsh_search", "hnsw_search", "hnsw_search_filtered", "ssg_search"):
+        got = QUERIES[name](spark, data).groupBy("query_id").count().collect()
+        assert {r["query_id"] for r in got} == ids and {r["count"] for r in got} == {10}, name
+
+
+def test_many_queries_are_answered(spark):
+    x = np.random.default_rng(4).normal(size=(20, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_id bigint, vector array<double>")
+    queries = spark.range(100_001).selectExpr("id AS query_id", "array(cos(id), sin(id)) AS vector")
+    got = FlatIndex(df).search(queries, 1)
+    assert got.count() == 100_001
+    for r in got.filter("query_id % 9973 = 0").collect():
+        assert r["_id"] == distances(np.array([[np.cos(r["query_id"]), np.sin(r["query_id"])]]), x, "euclidean")[0].argmin()
