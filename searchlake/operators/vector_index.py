@@ -9,7 +9,8 @@ ranking.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -224,31 +225,32 @@ class IvfIndex:
     """Inverted file, with or without product quantisation of what is left after the cell's centre.
 
     Rows carry their cell, and written indexes are partitioned by it, so that a probe reads
-    the probed cells only.
+    the probed cells only. A vector is in as many cells as copies says, its nearest, so that
+    neighbours across a border are found with the same number of probes; _id then names one vector.
     """
 
-    def __init__(self, rows: DataFrame, centres: np.ndarray, books: np.ndarray | None, metric: str = "euclidean"):
-        self.rows, self.centres, self.books, self.metric = rows, centres, books, metric
+    def __init__(self, rows: DataFrame, centres: np.ndarray, books: np.ndarray | None, metric: str = "euclidean", copies: int = 1):
+        self.rows, self.centres, self.books, self.metric, self.copies = rows, centres, books, metric, copies
 
     @classmethod
-    def build(cls, df: DataFrame, id_col: str = "_id", vector_col: str = "vector", cells: int = 256, subspaces: int = 0, bits: int = 4, seed: int = 11) -> IvfIndex:
+    def build(cls, df: DataFrame, id_col: str = "_id", vector_col: str = "vector", cells: int = 256, subspaces: int = 0, bits: int = 4, seed: int = 11, copies: int = 1) -> IvfIndex:
         """subspaces > 0 adds product quantisation: that many codes of so many bits for each vector."""
         base = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vector_col).cast("array<double>").alias("v"))
         base = base.filter(vectors.is_valid(F.col("v")))
         if cells > 1:
-            centres, assigned = kmeans(base, cells, "_id", "v", seed)
-            base = base.join(assigned, "_id")
+            centres, _ = kmeans(base, cells, "_id", "v", seed)
+            base = nearest_cells(base, centres, copies)
         else:
             dim = len(base.first()["v"])
             centres, base = np.zeros((1, dim)), base.withColumn("cell", F.lit(0))
         if not subspaces:
-            return cls(base, centres, None)
+            return cls(base, centres, None, copies=copies)
         dim = centres.shape[1]
         if dim % subspaces:
             raise InvalidParam(f"dimension {dim} does not split into {subspaces}")
         width = dim // subspaces
         means = base.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
-        rest = base.join(F.broadcast(means), "cell").withColumn("r", F.zip_with("v", "centre", lambda x, y: x - y)).select("_id", "cell", "r")
+        rest = base.join(F.broadcast(means), "cell").withColumn("r", F.zip_with("v", "centre", lambda x, y: x - y)).select("_id", "cell", "r", "v")
         books = []
         for s in range(subspaces):
             c, _ = kmeans(rest.select("_id", F.slice("r", s * width + 1, width).alias("part")), 1 << bits, "_id", "part", seed + s, 10)
@@ -260,33 +262,40 @@ class IvfIndex:
                 if b.num_rows:
                     r = np.asarray(b.column(2).flatten()).reshape(b.num_rows, subspaces, width)
                     codes = np.stack([((r[:, s, None, :] - book[s][None]) ** 2).sum(-1).argmin(1) for s in range(subspaces)], axis=1).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["_id", "cell", "code"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(3)], ["_id", "cell", "code", "v"])
 
-        return cls(rest.mapInArrow(encode, "_id bigint, cell int, code binary"), centres, book)
+        return cls(rest.mapInArrow(encode, "_id bigint, cell int, code binary, v array<double>"), centres, book, copies=copies)
 
-    def search(self, queries: DataFrame, k: int, probes: int = 8, allowed: DataFrame | None = None) -> DataFrame:
-        """allowed: a DataFrame of _id that may be found."""
+    def search(self, queries: DataFrame, k: int, probes: int = 8, allowed: DataFrame | None = None, share: float = 0.5) -> DataFrame:
+        """allowed: a DataFrame of _id that may be found. share: of each block of vectors, the part that is nearest by codes and is ranked by exact distances."""
         rows = self.rows if allowed is None else self.rows.join(allowed.select("_id"), "_id", "left_semi")
-        centres, books, n = self.centres, self.books, len(self.centres)
-        parts = parts_for(queries, n, min(probes, n))
+        centres, books, n_cells = self.centres, self.books, len(self.centres)
+        parts = parts_for(queries, n_cells, min(probes, n_cells))
         asks = nearest_cells(valid_queries(queries, centres.shape[1]), centres, probes)
         asks = packed(asks.select(part_of(parts), "cell", "_id", "v", F.lit(None).alias("more")))
-        data = rows.select(F.lit(0).alias("part"), "cell", "_id", *(["v", F.lit(None).alias("more")] if books is None else [F.array().cast("array<double>").alias("v"), F.col("code").alias("more")]))
+        data = rows.select(F.lit(0).alias("part"), "cell", "_id", "v", (F.lit(None) if books is None else F.col("code")).alias("more"))
 
         def by_code(near, cell, q, ids, raw, more):
             ids = np.frombuffer(ids, np.int64)
-            codes = np.frombuffer(more, np.uint8).reshape(len(ids), -1)
+            x, codes = np.frombuffer(raw).reshape(len(ids), -1), np.frombuffer(more, np.uint8).reshape(len(ids), -1)
+            n = min(len(ids), max(k, math.ceil(share * len(ids))))
             for lo in range(0, len(q), SLICE):
                 r = (q[lo : lo + SLICE] - centres[cell]).reshape(-1, len(books), books.shape[2])
                 table = ((r[:, :, None, :] - books[None]) ** 2).sum(-1)
-                near.add(lo, ids, sum(table[:, s, :][:, codes[:, s]] for s in range(len(books))))
+                coded = sum(table[:, s, :][:, codes[:, s]] for s in range(len(books)))
+                # one product for all is cheaper than to gather so large a share; what the codes leave out does not count
+                d = distances(q[lo : lo + SLICE], x, "euclidean")
+                near.add(lo, ids, np.where(coded <= np.partition(coded, n - 1, axis=1)[:, n - 1 : n], d, np.inf))
 
-        return best(meet(asks, packed(data), parts, parts * n, k, exact("euclidean") if books is None else by_code), k)
+        found = meet(asks, packed(data), parts, parts * n_cells, k, exact("euclidean") if books is None else by_code)
+        if self.copies > 1:
+            found = found.groupBy("query_id", "_id").agg(F.min("distance").alias("distance"))
+        return best(found, k)
 
     def save(self, path: str) -> None:
         self.rows.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
         spark = self.rows.sparkSession
-        model = [(0, self.centres.shape[0], 1, self.centres.ravel().tolist())]
+        model = [(0, self.centres.shape[0], self.copies, self.centres.ravel().tolist())]
         if self.books is not None:
             model.append((1, self.books.shape[0], self.books.shape[1], self.books.ravel().tolist()))
         spark.createDataFrame(model, "kind int, a int, b int, v array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
@@ -297,7 +306,7 @@ class IvfIndex:
         centres = np.array(model[0]["v"]).reshape(model[0]["a"], -1)
         books = np.array(model[1]["v"]).reshape(model[1]["a"], model[1]["b"], -1) if 1 in model else None
         rows = spark.read.parquet(f"{path}/rows")
-        return cls(rows.select("_id", "cell", "v" if books is None else "code"), centres, books)
+        return cls(rows.select("_id", "cell", "v", *([] if books is None else ["code"])), centres, books, copies=model[0]["b"])
 
 
 def lsh_search(df: DataFrame, queries: DataFrame, k: int, id_col: str = "_id", vector_col: str = "vector", tables: int = 12, width: float = 1.0, seed: int = 11) -> DataFrame:

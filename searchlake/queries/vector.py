@@ -146,7 +146,7 @@ def flat_search(spark, sf_dir):
 @query()
 def ivf_search(spark, sf_dir):
     df, queries = _named(spark, sf_dir)
-    return vector_index.IvfIndex.build(df, cells=16).search(queries, 10, probes=8)
+    return vector_index.IvfIndex.build(df, cells=16, copies=2).search(queries, 10, probes=8)
 
 
 @query()
@@ -158,7 +158,7 @@ def pq_search(spark, sf_dir):
 @query()
 def ivfpq_search(spark, sf_dir):
     df, queries = _named(spark, sf_dir)
-    return vector_index.IvfIndex.build(df, cells=8, subspaces=4, bits=4).search(queries, 10, probes=4)
+    return vector_index.IvfIndex.build(df, cells=8, subspaces=4, bits=4, copies=3).search(queries, 10, probes=4)
 
 
 @query()

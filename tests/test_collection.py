@@ -123,3 +123,27 @@ def test_many_queries_are_answered(spark):
     assert got.count() == 100_001
     for r in got.filter("query_id % 9973 = 0").collect():
         assert r["_id"] == distances(np.array([[np.cos(r["query_id"]), np.sin(r["query_id"])]]), x, "euclidean")[0].argmin()
+
+
+@pytest.mark.parametrize("name", ["ivf_search", "pq_search", "ivfpq_search"])
+def test_registered_recall(spark, name):
+    """Recall@10 over every row, of the registered parameters."""
+    data = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    near = ids[np.argsort(distances(x, x, "euclidean"), axis=1)[:, :10]]
+    exact = {i: set(n) for i, n in zip(ids.tolist(), near.tolist())}
+    found = [(r["query_id"], r["_id"]) for r in QUERIES[name](spark, data).collect()]
+    assert len(set(found)) == len(found) == 10 * len(ids)
+    assert sum(b in exact[a] for a, b in found) / len(found) >= 0.9
+
+
+def test_saved_codes_are_ranked_alike(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))], "_id bigint, vector array<double>")
+    queries = df.withColumnRenamed("_id", "query_id")
+    index = IvfIndex.build(df, cells=4, subspaces=2, bits=4, copies=2)
+    index.save(f"file://{tmp_path}/ivf")
+    got = IvfIndex.load(spark, f"file://{tmp_path}/ivf").search(queries, 3, probes=2)
+    # the distance is exact, so that every vector is nearest to itself
+    assert got.filter("rank = 1 AND query_id = _id AND distance < 1e-9").count() == 300
