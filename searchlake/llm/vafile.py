@@ -69,11 +69,13 @@ class Nearest:
             rows = slice(lo, lo + QUERIES)
             lower, upper = block.bounds(self.vectors[rows].astype(np.float32))
             limit = self.kth[rows]
+            own = self.ids[rows][:, None] == block.ids
+            lower[own] = upper[own] = np.inf  # rows of the query's own id are no neighbours
             if np.isinf(limit).any() and lower.shape[1] > self.k:
-                # no k exact distances yet: the k + 1 least upper bounds, one of which may be the query's own, bound the k-th
-                limit = np.minimum(limit, np.partition(upper, self.k, axis=1)[:, self.k])
-                best = np.argpartition(lower, self.k, axis=1)[:, : self.k + 1]
-                row = np.repeat(np.arange(len(limit)), self.k + 1)
+                # no k exact distances yet: the k least upper bounds bound the k-th
+                limit = np.minimum(limit, np.partition(upper, self.k - 1, axis=1)[:, self.k - 1])
+                best = np.argpartition(lower, self.k - 1, axis=1)[:, : self.k]
+                row = np.repeat(np.arange(len(limit)), self.k)
                 first = np.zeros(lower.shape, bool)
                 first[row, best.ravel()] = True
                 first &= lower <= limit[:, None]

@@ -189,6 +189,18 @@ def test_topk_over_several_blocks(spark):
         assert [got[ids[k]][r] for r in range(1, 6)] == ids[np.lexsort((ids, np.round(d, 9)))[:5]].tolist()
 
 
+def test_topk_with_many_rows_of_one_id():
+    rng = np.random.default_rng(8)
+    ids, k = np.r_[np.zeros(12, np.int64), np.arange(1, 60)], 5
+    x = np.r_[np.repeat(rng.normal(size=(1, 8)), 12, axis=0), rng.normal(size=(59, 8))]
+    near = vafile.Nearest(ids, x, k)
+    near.search(vafile.VaBlock(ids, x, x.min(axis=0), x.max(axis=0)))
+    for row in range(len(ids)):
+        d = np.sqrt(((x - x[row]) ** 2).sum(axis=1))
+        d[ids == ids[row]] = np.inf
+        assert near.who[near.own == row].tolist() == ids[np.lexsort((ids, np.round(d, 9)))[:k]].tolist()
+
+
 def test_label_model_finds_the_accuracies():
     rng, n = np.random.default_rng(6), 40_000
     good = rng.random(n) < 0.7
