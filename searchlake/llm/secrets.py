@@ -14,6 +14,8 @@ from .common import map_arrow, texts, words
 MIN_LENGTH, WINDOW = 20, 20
 #: Bits per character that some window must reach, by class of characters.
 LIMITS = {"hex": 2.8, "base64": 3.9}
+#: The same for pieces of a run that is not reported whole; random keys of 20 characters reach them.
+PIECES = {"hex": 2.8, "alnum": 3.3, "base64": 3.6}
 #: Candidates that are no secrets: whole matches of any of these.
 ALLOW = (
     r"\d+",
@@ -27,6 +29,33 @@ ALLOW = (
 _MEMBER = np.zeros(256, bool)
 _MEMBER[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"]] = True
 _HEX = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
+_ONE_CASE = re.compile(rb"[0-9a-z]+|[0-9A-Z]+")
+_MIXED = re.compile(rb"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+")
+#: Pieces that are words with a number.
+_NUMBERED = re.compile(rb"[A-Za-z]+[0-9]+|[0-9]+[A-Za-z]+")
+
+
+def pieces(run: bytes, min_length: int, allowed: re.Pattern | None) -> list[list[tuple[int, int, str]]]:
+    """(start, end, kind) of what may be keys between the = of a run, and there between any +/_-; the first of each list that is a key counts for those after it."""
+    out = []
+    for value in re.finditer(rb"[^=]+", run):
+        tries = [value.span()]
+        tries += [(value.start() + m.start(), value.start() + m.end()) for m in re.finditer(rb"[A-Za-z0-9]+", value[0]) if m.span() != (0, len(value[0]))]
+        found = []
+        for a, b in tries:
+            x = run[a:b]
+            if b - a < min_length or (allowed and allowed.fullmatch(x)):
+                continue
+            if _HEX.fullmatch(x):
+                found.append((a, b, "hex"))
+            elif _NUMBERED.fullmatch(x):
+                continue
+            elif _ONE_CASE.fullmatch(x):
+                found.append((a, b, "alnum"))
+            elif _MIXED.fullmatch(x):
+                found.append((a, b, "base64"))
+        out.append(found)
+    return out
 
 
 def best_entropy(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -60,13 +89,16 @@ def best_entropy(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window:
     return out
 
 
-def find_secrets(docs: DataFrame, min_length: int = MIN_LENGTH, limits: dict = LIMITS, allow: tuple = ALLOW, window: int = WINDOW) -> DataFrame:
+def find_secrets(docs: DataFrame, min_length: int = MIN_LENGTH, limits: dict = LIMITS, allow: tuple = ALLOW, window: int = WINDOW, piece_limits: dict = PIECES) -> DataFrame:
     """(doc_id, start, length, kind, entropy): runs of letters, digits and +/=_- that look like keys.
 
     A run of at least min_length characters is of kind hex, if all are hexadecimal digits of one
     case, else base64; it is reported where some window of it reaches the kind's limit and no
-    pattern of allow matches the whole of it. start counts characters from 0. Null and empty
-    texts give nothing; repeated rows give their runs once for each row.
+    pattern of allow matches the whole of it. Of other runs, the values between = are judged by
+    themselves, and what stands between +/_- in them: as hex, alnum (one case) or base64 (both
+    cases and digits), with the limits of piece_limits; allow, and words with a number before or
+    behind, are left out there too. start counts characters from 0. Null and empty texts give
+    nothing; repeated rows give their runs once for each row.
     """
     allowed = re.compile("|".join(f"(?:{x})" for x in allow).encode()) if allow else None
 
@@ -84,10 +116,24 @@ def find_secrets(docs: DataFrame, min_length: int = MIN_LENGTH, limits: dict = L
             s, e, row = s[keep], e[keep], np.searchsorted(row_offs, keep, side="right") - 1
             kind = np.array(["hex" if _HEX.fullmatch(raw, a, b) else "base64" for a, b in zip(s.tolist(), e.tolist())])
             bits = np.round(best_entropy(data, s, e, window), 4)
-            hit = np.flatnonzero(bits >= np.array([limits[x] for x in kind]))
+            good = bits >= np.array([limits[x] for x in kind])
+            more = []
+            for k in np.flatnonzero(~good).tolist():
+                for tries in pieces(raw[s[k] : e[k]], min_length, allowed):
+                    done = []
+                    for x, y, name in tries:
+                        h = round(float(best_entropy(data, s[k : k + 1] + x, s[k : k + 1] + y, window)[0]), 4)
+                        if h >= piece_limits[name] and not any(p <= x and y <= q for p, q in done):
+                            done.append((x, y))
+                            more.append((s[k] + x, s[k] + y, row[k], name, h))
+            s, e, row, kind, bits = s[good], e[good], row[good], kind[good], bits[good]
+            if more:
+                s, e, row, kind, bits = (np.concatenate([a, np.array(b)]) for a, b in zip((s, e, row, kind, bits), zip(*more)))
+            if not len(s):
+                continue
             chars = np.zeros(len(data) + 1, np.int64)
             np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
-            cols = [batch.column(0).take(pa.array(row[hit] + lo)), pa.array((chars[s] - chars[offs[row]])[hit]), pa.array((e - s)[hit], pa.int32()), pa.array(kind[hit].tolist(), pa.string()), pa.array(bits[hit])]
+            cols = [batch.column(0).take(pa.array(row + lo)), pa.array(chars[s] - chars[offs[row]]), pa.array(e - s, pa.int32()), pa.array(kind.tolist(), pa.string()), pa.array(bits)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "kind", "entropy"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, start bigint, length int, kind string, entropy double")

@@ -1,5 +1,8 @@
 """Every operator on odd rows and on empty tables: defined results, no crash."""
 
+import string
+
+import numpy as np
 import pytest
 
 from searchlake.llm import decontaminate, htmltext, kdshard, linededup, neardup, packing, quality, secrets, toxicity, vafile
@@ -82,6 +85,22 @@ def test_secrets(spark, odd, none):
     assert secrets.find_secrets(odd).collect() == [] == secrets.find_secrets(none).collect()
 
 
+def test_planted_keys(spark):
+    rng = np.random.default_rng(9)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    forms = [("key=", "0123456789abcdef", 32), ("token=", "0123456789ABCDEF", 40), ("api_key=", "0123456789abcdef", 32), ("AKIA", upper + digits, 16), ("", lower + digits, 24), ("", upper + digits, 20), ("", lower + upper + digits, 20), ("sk_live_", lower + upper + digits, 24), ("password=", lower + digits, 20), ("ghp_", lower + upper + digits, 36)]
+    rows = [(f * 1000 + i, f"note é {name}{''.join(rng.choice(list(letters), n))} end", name, n) for f, (name, letters, n) in enumerate(forms) for i in range(300)]
+    found = {}
+    for r in secrets.find_secrets(spark.createDataFrame([x[:2] for x in rows], "doc_id bigint, text string")).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.length))
+    for f, (name, letters, n) in enumerate(forms):
+        # the whole key is within what is reported
+        hit = sum(any(a <= 7 + len(name) and a + m == 7 + len(name) + n for a, m in found.get(f * 1000 + i, [])) for i in range(300))
+        assert hit >= 0.95 * 300, (name, n, hit)
+    plain = ["key=user/settings/page/2024/overview", "internationalization2024", "id=3f2b8c1e-1111-4222-8333-abcdefabcdef", "name=quick_river_over_the_bridge"]
+    assert secrets.find_secrets(spark.createDataFrame(list(enumerate(plain)), "doc_id bigint, text string")).collect() == []
+
+
 def test_sharding(odd, none):
     got = kdshard.shard(odd, target_bytes=100).collect()
     assert len(got) == odd.count()
