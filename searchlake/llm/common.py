@@ -4,7 +4,6 @@ folder, and whole-batch text hashing in numpy over Arrow string buffers."""
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..scratch import shared_dir
 
 CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch, where the session sets no bound: ten thousand rows of long texts would not fit in a worker.
@@ -20,18 +23,6 @@ _ODD = 0x9E3779B97F4A7C15
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a new one that is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        found = "file://" + tempfile.mkdtemp(prefix="searchlake-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 class Scratch:
     """Tables written to the shared folder, so that no later stage depends on an executor's disk.
 
@@ -77,10 +68,10 @@ def _clear_scratch() -> None:
                 return
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow of a function from one batch to several, of bounded size unless the session says otherwise."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow of a function from one batch to several. Where the session sets no bound on a batch's bytes it gets BATCH_BYTES."""
     conf = df.sparkSession.conf
-    if conf.get(_BATCH_CONF) == "67108864b":  # Spark's default
+    if conf.get(_BATCH_CONF, None) is None:
         conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
     def run(batches):
@@ -91,6 +82,27 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of a table is called so, in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def with_fields(schema: T.StructType, **fields: T.DataType) -> T.StructType:
+    """A schema with more fields behind its own; names of nested fields may hold anything."""
+    return T.StructType([*schema.fields, *(T.StructField(k, v) for k, v in fields.items())])
+
+
+def quoted(names: list[str]) -> list:
+    """Columns by their exact names."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

@@ -2,6 +2,8 @@
 
 import math
 import re
+import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -130,8 +132,8 @@ def test_html_votes(spark):
     rows, votes = pages.collect(), defaultdict(lambda: defaultdict(lambda: [0, 0.0]))
     host = {r.page_id: re.match(r"[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", r.url)[1].lower() for r in rows}
     for r in rows:
-        path, score = htmltext.best_path(htmltext.parse(r.html))
-        if score > 0:
+        if best := htmltext.Page(r.html).best_path():
+            path, score = best
             own = votes[host[r.page_id]][path]
             own[0] += 1
             own[1] += score
@@ -139,12 +141,44 @@ def test_html_votes(spark):
     got = {r.page_id: r for r in htmltext.extract(pages).collect()}
     assert len(got) == len(rows) and any(r.consensus for r in got.values())
     for r in rows:
-        own = htmltext.text_at(htmltext.parse(r.html), winner[host[r.page_id]])
+        own = htmltext.Page(r.html).text_at(winner[host[r.page_id]])
         assert got[r.page_id].consensus == (own is not None)
         if own is not None:
             assert (got[r.page_id].path, got[r.page_id].text) == (winner[host[r.page_id]], own)
 
 
+@pytest.mark.parametrize(
+    ("page", "path", "text"),
+    [
+        ("<body><div>first<div>second</div>third</div></body>", "body>div", "first\nsecond\nthird"),
+        ("<body><div>first<nav>menu<p>more</nav>third</div>last</body>", "body>div", "first\nthird"),
+        ("<body><nav>menu</nav></body>", "body>nav", "menu"),
+        ("<div class='b7 a12'>x &amp; y</div><p>no<div class='a9 b1'>z", "div.a#.b#", "x & y\nz"),
+        ("<!DOCTYPE html><!-- c > --><script>if (a < b) {}</script><p>I <3 <b>you</b>", "", "I <3 you"),
+        ("<p title='a > b' class=x>one<br>two\t  three</p>", "", "one\ntwo three"),
+        ("<div>a<section>b</div>c", "div>section", "b"),
+        ("<p>kept <a href=x no end", "", "kept"),
+    ],
+)
+def test_html_texts_by_hand(page, path, text):
+    assert htmltext.Page(page).text_at(path) == text
+
+
+def test_html_time_and_memory_follow_the_page():
+    deep = "<div>" * 100_000 + "deep" + "</p></section>" * 100_000
+    odd = ["<body><a " + '"' * 100 + " x", '<a href="' * 100_000, "<a" * 100_000, "<!" * 100_000, "<script" * 50_000, "</script   " * 50_000, "\n" * 100_000 + " " * 100_000 + "x", "<div class=" * 50_000]
+    tracemalloc.start()
+    began = time.process_time()
+    for page in (deep, *odd):
+        own = htmltext.Page(page)
+        best = own.best_path()
+        if best:
+            own.text_at(best[0])
+    assert time.process_time() - began < 20 and tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    assert htmltext.Page(deep).text_at(htmltext.Page(deep).best_path()[0]) == "deep"
+
+
 def test_entropy_by_counting_anew():
     rng = np.random.default_rng(5)
     raw = bytes(rng.choice(list(b"abcdef0123456789XYZ"), 500).tolist())
