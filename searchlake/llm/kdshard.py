@@ -2,48 +2,70 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from ..errors import InvalidParam
+from ..operators.mutations import number_rows
+from .common import Scratch, quoted
 
 TARGET_BYTES, BINS, MAX_DEPTH = 128 << 20, 4096, 60
+#: Up to this size the ranks of a dimension's values are broadcast; beyond it they are joined by shuffle.
+MAX_BROADCAST_BYTES = 16 << 20
 DIMENSIONS = ("lang", "source", "n_chars", "doc_id")
 
 
-def coordinate(field: T.StructField) -> Column:
-    """A column as a number that keeps its order: strings by their first six bytes, null below all else."""
-    c = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.StringType):
-        c = F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10)
-    c = F.when(F.isnan(c.cast("double")), None).otherwise(c.cast("double"))
-    return F.coalesce(c, F.lit(-1.0))
+def _ranked(rows: DataFrame, column: str, scratch: Scratch, max_broadcast: int) -> DataFrame:
+    """rows with a column's values replaced by their rank, from 1, among its distinct values; null by 0."""
+    values = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    ranks = scratch.save(number_rows(values, "value", "rank").select("value", F.col("rank").cast("double").alias("rank")))
+    size = ranks.agg(F.coalesce(F.sum(F.octet_length(F.col("value").cast("string")) + 24), F.lit(0))).first()[0]
+    joined = rows.join(F.broadcast(ranks) if size <= max_broadcast else ranks, F.col(column) == F.col("value"), "left")
+    return joined.withColumn(column, F.coalesce("rank", F.lit(0.0))).drop("value", "rank")
+
+
+def coordinates(rows: DataFrame, n: int, scratch: Scratch, max_broadcast: int) -> DataFrame:
+    """rows with d0 .. dn-1 as doubles that keep the order of the values, null below all of them.
+
+    Whole numbers count from the smallest, so that ids far from zero stay apart; other values,
+    and whole numbers too far apart for a double, are replaced by their rank.
+    """
+    whole = [k for k in range(n) if isinstance(rows.schema[f"d{k}"].dataType, T.IntegralType)]
+    ends = rows.agg(F.lit(0), *[f(f"d{k}").cast("decimal(20,0)").alias(f"{name}{k}") for k in whole for f, name in ((F.min, "min"), (F.max, "max"))]).first()
+    for k in range(n):
+        low, high = (ends[f"min{k}"], ends[f"max{k}"]) if k in whole else (None, None)
+        if k in whole and (low is None or high - low < 1 << 52):
+            shifted = F.col(f"d{k}").cast("decimal(20,0)") - F.lit(0 if low is None else low) + 1
+            rows = rows.withColumn(f"d{k}", F.coalesce(shifted.cast("double"), F.lit(0.0)))
+        else:
+            rows = _ranked(rows, f"d{k}", scratch, max_broadcast)
+    return rows
 
 
-def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES, dimensions: tuple = DIMENSIONS, bins: int = BINS) -> DataFrame:
+def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES, dimensions: tuple = DIMENSIONS, bins: int = BINS, max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """(doc_id, shard, n_bytes): the leaf of the K-d tree in which each row falls.
 
     A node heavier than target_bytes (UTF-8 bytes of text) is split at the weighted median of the
-    dimension that is widest in it, as a share of the whole table's width; rows at the median
-    go left, unless nothing would then be right. A node whose rows agree in every dimension is
-    a leaf however heavy it is, so rows of equal metadata stay together. Null texts weigh 0; a
-    null in a dimension lies below all values. Shards are numbered by their path: the children
-    of n are 2n and 2n + 1. Every level reads only the numbers of each row, never the texts.
+    dimension that is widest in it, as a share of the whole table's width, of equal ones the first;
+    rows at the median go left, unless nothing would then be right. Strings and other values that
+    are no whole numbers count by their rank among the column's distinct values, whole values of
+    any length. A node whose rows agree in every dimension is a leaf however heavy it is, so rows
+    of equal metadata stay together; repeated rows are placed each. Null and empty texts weigh 0;
+    a null in a dimension lies below all values, NaN above. Shards are numbered by their path: the
+    children of n are 2n and 2n + 1; a tree deeper than MAX_DEPTH raises an error. An empty table
+    gives no rows; other columns, of whatever name, are not looked at. Every level reads only the
+    numbers of each row, never the texts.
     """
     scratch, n = Scratch(docs.sparkSession, "kd"), len(dimensions)
-    fields = {f.name: f for f in docs.schema.fields}
-    dims = [coordinate(fields[d]).alias(f"d{k}") for k, d in enumerate(dimensions)]
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), *dims)
-    rows = scratch.save(rows.withColumn("node", F.lit(1).cast("bigint")).withColumn("open", F.lit(True)))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), *[c.alias(f"d{k}") for k, c in enumerate(quoted(dimensions))])
+    rows = scratch.save(coordinates(scratch.save(rows), n, scratch, max_broadcast).withColumn("node", F.lit(1).cast("bigint")).withColumn("open", F.lit(True)))
     ends = [f(F.col(f"d{k}")).alias(f"{name}{k}") for k in range(n) for f, name in ((F.min, "min"), (F.max, "max"))]
     whole = rows.agg(*ends).first()
     width = [((whole[f"max{k}"] or 0) - (whole[f"min{k}"] or 0)) or 1.0 for k in range(n)]
 
-    for _ in range(MAX_DEPTH):
+    for depth in range(MAX_DEPTH + 1):
         heavy = rows.filter("open").groupBy("node").agg(F.sum("n_bytes").alias("w"), *ends).filter(F.col("w") > target_bytes)
         spans = F.array(*[(F.col(f"max{k}") - F.col(f"min{k}")) / width[k] for k in range(n)])
         heavy = heavy.withColumn("dim", F.array_position(spans, F.array_max(spans)).cast("int") - 1).filter(F.array_max(spans) > 0)
@@ -51,6 +73,8 @@ def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES, dimensions: tuple =
         state = scratch.save(heavy.select("node", "dim", (F.col("w") / 2).alias("half"), end[1].alias("top"), end[0].alias("lo"), end[1].alias("hi"), F.lit(0.0).alias("below")))
         if not state.head(1):
             break
+        if depth == MAX_DEPTH:
+            raise InvalidParam(f"{target_bytes} bytes a shard make a tree deeper than {MAX_DEPTH}")
         value = F.element_at(F.array(*[F.col(f"d{k}") for k in range(n)]), F.col("dim") + 1)
         split = scratch.save(rows.filter("open").join(state.select("node", "dim"), "node").withColumn("v", value).select("node", "v", "n_bytes"))
         while state.filter("lo < hi").head(1):
