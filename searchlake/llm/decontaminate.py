@@ -13,42 +13,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, lowered, map_arrow, prefix, span_hash, texts, windows, words
-from .linededup import _ddl
+from .common import WORD_REGEX, Scratch, fresh, grams, lowered, map_arrow, prefix, quoted, span_hash, texts, windows, words
+from .linededup import Bloom
 
 N, MIN_WORDS, DROP_SHARE = 8, 5, 0.5
-MAX_BROADCAST_GRAMS = 2_000_000
+#: The benchmark is broadcast while it has no more words and no more bytes than this.
+MAX_BROADCAST_GRAMS, MAX_BROADCAST_BYTES = 500_000, 32 << 20
+#: Beyond it a filter of its n-grams' hashes is broadcast: so many parts of at most so many bytes.
+FILTER_PARTS, FILTER_PART_BYTES = 64, 1 << 20
 
 
 class GramSet:
-    """Benchmark n-grams by hash, with the words and items of each."""
+    """Benchmark n-grams: by size their sorted hashes, and for each the item and the place of its words in one run of bytes."""
 
     def __init__(self, items: list[tuple[int, str]], n: int, min_words: int):
-        self.words: dict[int, dict[int, dict[bytes, list[int]]]] = {}
-        self._index = None
+        raws, at, found = [], 0, {}
         for item, text in items:
             for _, _, data, offs in texts(lowered(pa.array([text], pa.string()))):
                 s, e, _ = words(data, offs)
                 size = min(n, len(s))
                 if size < min_words:
                     continue
-                h, raw, own = grams(span_hash(prefix(data), s, e), size), data.tobytes(), self.words.setdefault(size, {})
-                for k, x in enumerate(h.tolist()):
-                    owners = own.setdefault(x, {}).setdefault(_joined(raw, s, e, k, size), [])
-                    if item not in owners:
-                        owners.append(item)
+                h, raw = grams(span_hash(prefix(data), s, e), size), data.tobytes()
+                raws.append(b" ".join(raw[a:b] for a, b in zip(s.tolist(), e.tolist())))
+                start = at + np.concatenate([[0], np.cumsum(e - s + 1)])
+                found.setdefault(size, []).append((h, np.full(len(h), item), start[: len(h)], start[size : size + len(h)] - 1))
+                at += len(raws[-1])
+        self.raw, self.sizes, self._index = b"".join(raws), {}, None
+        for size, parts in found.items():
+            h, item, a, b = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((item, h))
+            self.sizes[size] = tuple(x[order] for x in (h, item, a, b))
 
     def index(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """By gram size: a bitmap over the hashes' low bits, and the sorted hashes; made once in each Python worker."""
-        if self._index is not None:
-            return self._index
-        self._index = out = {}
-        for size, own in self.words.items():
-            h = np.sort(np.fromiter(own, np.uint64, len(own)))
-            bits = max(16, (16 * len(h)).bit_length())
-            low = np.zeros(1 << bits, bool)
-            low[(h & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-            out[size] = low, h
+        if self._index is None:
+            self._index = {}
+            for size, (h, _, _, _) in self.sizes.items():
+                bits = max(16, (16 * len(h)).bit_length())
+                low = np.zeros(1 << bits, bool)
+                low[(h & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
+                self._index[size] = low, h
+        return self._index
+
+    def items(self, size: int, k: int, own: bytes) -> set[int]:
+        """The items that have the gram of the k-th hash and those after it, where the words are the same."""
+        h, item, a, b = self.sizes[size]
+        out = set()
+        for j in range(k, len(h)):
+            if h[j] != h[k]:
+                break
+            if int(item[j]) not in out and self.raw[a[j] : b[j]] == own:
+                out.add(int(item[j]))
         return out
 
 
@@ -66,34 +82,90 @@ def scan(column: pa.Array, known: GramSet, index: dict):
         for size, (low, full) in index.items():
             g = grams(h, size)
             near = np.flatnonzero(low[(g & np.uint64(len(low) - 1)).astype(np.int64)])
-            near = near[full[np.minimum(np.searchsorted(full, g[near]), len(full) - 1)] == g[near]]
+            first = np.minimum(np.searchsorted(full, g[near]), len(full) - 1)
+            hit = full[first] == g[near]
+            near, first = near[hit], first[hit]
             if not len(near):
                 continue
             row = np.searchsorted(row_offs, near, side="right") - 1
             inside = near + size <= row_offs[row + 1]
             raw = raw or data.tobytes()
-            for k, r in zip(near[inside].tolist(), row[inside].tolist()):
-                for item in known.words[size][int(g[k])].get(_joined(raw, s, e, k, size), ()):
+            for k, r, j in zip(near[inside].tolist(), row[inside].tolist(), first[inside].tolist()):
+                for item in known.items(size, j, _joined(raw, s, e, k, size)):
                     yield lo + r, item, k - int(row_offs[r]), size
 
 
-def _gram_rows(df: DataFrame, key: str, n: int, min_words: int, sizes: list[int] | None = None) -> DataFrame:
-    """(key, pos, size, gram) of every window, for joining by shuffle."""
+def _grams_of(df: DataFrame, key: str, n: int, min_words: int, sizes: list[int] | None = None, filters=None) -> DataFrame:
+    """(key, pos, size, h, gram) of the windows: of a benchmark's items where sizes is None, else of texts, of those sizes and where the filters have their hash."""
 
     def run(batch):
         ids = batch.column(0)
+        own = {k: np.frombuffer(v, np.uint8) for k, v in filters.value.items()} if filters else None
         for lo, _, data, offs in texts(lowered(batch.column(1))):
             s, e, row_offs = words(data, offs)
-            raw, counts = data.tobytes(), np.diff(row_offs)
+            raw, counts, hashes = data.tobytes(), np.diff(row_offs), span_hash(prefix(data), s, e)
             for size in sizes or range(min_words, n + 1):
                 at, row = windows(row_offs, size)
                 if sizes is None and size < n:  # a benchmark item shorter than n has one window: itself
                     at, row = at[counts[row] == size], row[counts[row] == size]
+                h = grams(hashes, size)[at] if len(at) else np.zeros(0, np.uint64)
+                if own is not None and len(at):
+                    part, hit = (h >> np.uint64(58)).astype(np.int64), np.zeros(len(h), bool)
+                    for p in np.unique(part).tolist():
+                        if p in own:
+                            hit[part == p] = Bloom.test(own[p], h[part == p])
+                    at, row, h = at[hit], row[hit], h[hit]
                 if len(at):
-                    cols = [ids.take(pa.array(row + lo)), pa.array(at - row_offs[row], pa.int32()), pa.array(np.full(len(at), size), pa.int32())]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array([_joined(raw, s, e, k, size).decode() for k in at.tolist()])], [key, "pos", "size", "gram"])
+                    cols = [ids.take(pa.array(row + lo)), pa.array(at - row_offs[row], pa.int32()), pa.array(np.full(len(at), size), pa.int32()), pa.array(h.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([_joined(raw, s, e, k, size).decode() for k in at.tolist()])], [key, "pos", "size", "h", "gram"])
 
-    return map_arrow(df.select(F.col(key).cast("bigint").alias(key), "text"), run, f"{key} bigint, pos int, size int, gram string")
+    kind = df.schema[key].dataType.simpleString()
+    return map_arrow(df.select(key, "text"), run, f"{key} {kind}, pos int, size int, h bigint, gram string")
+
+
+def _filter_parts(own: DataFrame, scratch: Scratch) -> dict[int, bytes]:
+    """A Bloom filter of the grams' hashes in FILTER_PARTS parts by their high bits. Its size is bounded; past that more windows pass it, and are told apart by the join."""
+
+    def build(batches):
+        part, h = None, []
+
+        def result():
+            keys = np.unique(np.concatenate(h))
+            bits = min(8 * FILTER_PART_BYTES, 1 << max(9, (12 * len(keys)).bit_length()))
+            f = Bloom(bits)
+            f.room = len(keys)
+            f.add(keys)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f.parts[0].tobytes()], pa.binary())], ["part", "filter"])
+
+        for b in batches:
+            parts, x = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            for p in np.unique(parts).tolist():
+                if p != part:
+                    if h:
+                        yield result()
+                    part, h = p, []
+                h = [np.unique(np.concatenate([*h, x[parts == p]]))]
+        if h:
+            yield result()
+
+    keyed = own.select(F.shiftrightunsigned("h", 58).cast("int").alias("part"), "h").distinct()
+    made = scratch.save(keyed.repartition(FILTER_PARTS, "part").sortWithinPartitions("part").mapInArrow(build, "part int, filter binary"))
+    return {r["part"]: r["filter"] for r in made.collect()}
+
+
+def _matched(docs: DataFrame, key: str, bench: DataFrame, n: int, min_words: int) -> DataFrame:
+    """(key, item_id, pos, size) of verified windows, for benchmarks too large to broadcast: only windows that pass the filter are shuffled."""
+    scratch = Scratch(docs.sparkSession, "leaks")
+    own = scratch.save(_grams_of(bench, "item_id", n, min_words).select("item_id", "size", "h", "gram").distinct())
+    sizes = sorted(r[0] for r in own.select("size").distinct().collect())
+    if not sizes:
+        return docs.select(key, F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("pos"), F.lit(0).alias("size")).limit(0)
+    filters = docs.sparkSession.sparkContext.broadcast(_filter_parts(own, scratch))
+    return _grams_of(docs, key, n, min_words, sizes, filters).join(own, ["h", "size", "gram"]).select(key, "item_id", "pos", "size")
+
+
+def _usable(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MIN_WORDS, max_grams: int = MAX_BROADCAST_GRAMS) -> DataFrame:
@@ -101,9 +173,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int
 
     Words are runs of letters and digits in lower case. An item shorter than n words counts by
     its whole text if it has min_words, else not at all. Rows with a null doc_id, item_id or text
-    give nothing; rows that share a doc_id are one document, whose windows are counted by place.
+    give nothing, nor do empty texts or tables; rows that share a doc_id are one document, whose
+    windows are counted by place; repeated items count once. Texts of any length are read whole;
+    other columns, of whatever name, are not looked at.
     """
-    bench = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    bench = _usable(benchmark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     known = _collected(bench, n, min_words, max_grams)
     if known is not None:
@@ -117,20 +191,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int
 
         hits = map_arrow(docs, run, "doc_id bigint, item_id bigint, pos int, size int")
     else:
-        own = _gram_rows(bench, "item_id", n, min_words).select("item_id", "size", "gram").distinct()
-        sizes = [r[0] for r in own.select("size").distinct().collect()]
-        hits = _gram_rows(docs, "doc_id", n, min_words, sizes).join(own, ["size", "gram"]) if sizes else own.select(F.col("item_id").alias("doc_id"), "item_id", F.lit(0).alias("pos"), "size").limit(0)
+        hits = _matched(docs, "doc_id", bench, n, min_words)
     return hits.groupBy("doc_id", "item_id").agg(
         F.countDistinct("pos").cast("int").alias("n_windows"), F.min("pos").alias("first_word"), F.max(F.col("pos") + F.col("size") - 1).alias("last_word")
     )
 
 
 def _collected(bench: DataFrame, n: int, min_words: int, max_grams: int) -> GramSet | None:
-    """The benchmark's n-grams on the driver, or None where there may be more than max_grams."""
-    size = bench.agg(F.coalesce(F.sum(F.size(F.split("text", " ")) + 1), F.lit(0))).first()[0]
-    if size > max_grams:
+    """The benchmark's n-grams on the driver, or None where it has more words than max_grams or more bytes than MAX_BROADCAST_BYTES."""
+    n_words = F.size(F.regexp_extract_all("text", F.lit(WORD_REGEX), F.lit(0)))
+    sizes = bench.agg(F.coalesce(F.sum(n_words), F.lit(0)), F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()
+    if sizes[0] > max_grams or sizes[1] > MAX_BROADCAST_BYTES:
         return None
-    return GramSet([(r[0], r[1]) for r in bench.collect()], n, min_words)
+    return GramSet([(r[0], r[1]) for r in bench.distinct().collect()], n, min_words)
 
 
 def cut_spans(text: str, taken: np.ndarray) -> str:
@@ -150,10 +223,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MI
     """docs without the benchmark's words: spans are cut; a document of which they are more than drop_share goes.
 
     Two hits of the same item that are at most n words apart make one span, so that small edits
-    inside a copied passage go with it. Columns stay as they are; n_chars, where there is one,
-    follows the text. A null text stays as it is.
+    inside a copied passage go with it. Columns stay as they are, of whatever name or type; n_chars,
+    where there is one, follows the text. Null and empty texts stay as they are; repeated rows are
+    cleaned alike; an empty table gives no rows, an empty benchmark all rows.
     """
-    bench = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    bench = _usable(benchmark)
     names, schema = docs.columns, docs.schema
     body, size_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     known = _collected(bench, n, min_words, max_grams)
@@ -191,25 +265,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MI
                 hits.setdefault(row, []).append((item, pos, size))
             yield from emit(batch, hits)
 
-        return map_arrow(docs, run, schema_ddl(schema))
+        return map_arrow(docs, run, schema)
 
-    # by shuffle, documents are found again by their text, so that nothing hangs on the ids
-    marked = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    own = _gram_rows(bench, "item_id", n, min_words).select("item_id", "size", "gram").distinct()
-    sizes = [r[0] for r in own.select("size").distinct().collect()] or [n]
-    found = _gram_rows(marked, "doc_id", n, min_words, sizes).join(own, ["size", "gram"]).groupBy("doc_id")
-    found = found.agg(F.collect_set(F.struct("item_id", "pos", "size")).alias("__hits")).withColumnRenamed("doc_id", "__text")
-    joined = docs.withColumn("__text", F.xxhash64("text")).join(found, "__text", "left").select(*[F.col(f"`{c}`") for c in names], "__hits")
+    # by shuffle, documents are found again by a digest of their text, so that nothing hangs on the ids
+    f_key, f_hits = fresh(names, "digest", "hits")
+    marked = docs.select(F.sha2("text", 256).alias("digest"), "text").filter("text IS NOT NULL")
+    found = _matched(marked, "digest", bench, n, min_words).groupBy(F.col("digest").alias(f_key)).agg(F.collect_set(F.struct("item_id", "pos", "size")).alias(f_hits))
+    joined = docs.join(found, F.sha2("text", 256) == F.col(f_key), "left").select(*quoted(names), f_hits)
 
     def apply(batch):
         got = batch.column(len(names)).to_pylist()
         yield from emit(batch, {k: [(h["item_id"], h["pos"], h["size"]) for h in x] for k, x in enumerate(got) if x})
 
-    return map_arrow(joined, apply, schema_ddl(schema))
-
-
-def schema_ddl(schema) -> str:
-    return _ddl(schema, "").rstrip(", ")
+    return map_arrow(joined, apply, schema)
 
 
 ORACLE = r"""

@@ -3,53 +3,63 @@
 One pass hashes every line and sends the hashes, packed by hash slice, to the slice's
 "once" filter; a hash that the filter has already seen goes to its "twice" filter. Only
 lines that the twice filter suspects are shuffled as text, for exact confirmation and for
-the choice of the first occurrence. Documents without a suspect are never shuffled.
+the choice of the first occurrence; whole texts are shuffled only where what is to be known about
+them is too large to broadcast.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, map_arrow, mix, prefix, span_hash, texts
+from .common import Scratch, fresh, map_arrow, mix, prefix, quoted, span_hash, texts, with_fields
 
 MIN_CHARS = 15
 BITS_PER_KEY, PROBES = 12, 4
-MAX_BROADCAST_BYTES = 64 << 20
+#: Bytes of filters, and rows (16 bytes each) of places of first occurrences, that may be broadcast.
+MAX_BROADCAST_BYTES, MAX_FIRSTS = 64 << 20, 2_000_000
 BLANKS = " \t\r"
 
 
 class Bloom:
-    """Scalable Bloom filter: when one part is full, another of twice the size is added."""
+    """Scalable Bloom filter over packed bits: when one part is full, another of twice the size is added."""
 
     def __init__(self, bits: int = 1 << 14):
-        self.parts, self.room = [np.zeros(bits, bool)], bits // BITS_PER_KEY
+        self.parts, self.room = [np.zeros(bits >> 3, np.uint8)], bits // BITS_PER_KEY
 
     @staticmethod
     def _at(h: np.ndarray, bits: int) -> list[np.ndarray]:
         a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
         return [((a + np.uint64(k) * b) & np.uint64(bits - 1)).astype(np.int64) for k in range(PROBES)]
 
+    @staticmethod
+    def test(part: np.ndarray, h: np.ndarray) -> np.ndarray:
+        hit = np.ones(len(h), bool)
+        for at in Bloom._at(h, 8 * len(part)):
+            hit &= (part[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return hit
+
     def seen(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), bool)
         for p in self.parts:
-            hit = np.ones(len(h), bool)
-            for at in self._at(h, len(p)):
-                hit &= p[at]
-            out |= hit
+            out |= self.test(p, h)
         return out
 
     def add(self, h: np.ndarray) -> None:
         while len(h):
             if self.room <= 0:
-                self.parts.append(np.zeros(2 * len(self.parts[-1]), bool))
-                self.room = len(self.parts[-1]) // BITS_PER_KEY
+                self.parts.append(np.zeros(2 * len(self.parts[-1]), np.uint8))
+                self.room = 8 * len(self.parts[-1]) // BITS_PER_KEY
             now, h = h[: self.room], h[self.room :]
             self.room -= len(now)
-            for at in self._at(now, len(self.parts[-1])):
-                self.parts[-1][at] = True
+            for at in self._at(now, 8 * len(self.parts[-1])):
+                low = at & 7
+                for bit in range(8):
+                    self.parts[-1][at[low == bit] >> 3] |= np.uint8(1 << bit)
 
 
 def packed_filter(h: np.ndarray) -> bytes:
@@ -58,7 +68,7 @@ def packed_filter(h: np.ndarray) -> bytes:
     f = Bloom(bits)
     f.room = len(h)
     f.add(h)
-    return np.packbits(f.parts[0], bitorder="little").tobytes()
+    return f.parts[0].tobytes()
 
 
 def in_packed(filters: dict[int, np.ndarray], slices: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -70,10 +80,7 @@ def in_packed(filters: dict[int, np.ndarray], slices: np.ndarray, h: np.ndarray)
         f = filters.get(int(slices[part[0]])) if len(part) else None
         if f is None:
             continue
-        hit = np.ones(len(part), bool)
-        for at in Bloom._at(h[part], 8 * len(f)):
-            hit &= (f[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        out[part] = hit
+        out[part] = Bloom.test(f, h[part])
     return out
 
 
@@ -129,27 +136,34 @@ def twice_filters(docs: DataFrame, n_slices: int, min_chars: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["slice", "once", "twice"])
 
     def filters(batches):
-        once: dict[int, Bloom] = {}
-        twice: dict[int, list[np.ndarray]] = {}
+        now, once, twice = None, None, []  # one slice at a time
+
+        def result():
+            h = np.unique(np.concatenate(twice)) if twice else np.zeros(0, np.uint64)
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([packed_filter(h)], pa.binary())], ["slice", "filter"])
+
         for b in batches:
             for k, o, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                h, f = np.frombuffer(o.as_buffer(), np.uint64), once.setdefault(k, Bloom())
-                old = f.seen(h)
-                f.add(h[~old])
-                twice.setdefault(k, []).extend((h[old], np.frombuffer(t.as_buffer(), np.uint64)))
-        for k, parts in twice.items():
-            h = np.unique(np.concatenate(parts))
-            if len(h):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed_filter(h)], pa.binary())], ["slice", "filter"])
+                if k != now:
+                    yield from result()
+                    now, once, twice = k, Bloom(), []
+                h = np.frombuffer(o.as_buffer(), np.uint64)
+                old = once.seen(h)
+                once.add(h[~old])
+                twice += [h[old], np.frombuffer(t.as_buffer(), np.uint64)]
+                if len(twice) > 64:
+                    twice = [np.unique(np.concatenate(twice))]
+        yield from result()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = map_arrow(docs.select("text"), hashes, "slice int, once binary, twice binary")
-    return hashed.repartition(parts, "slice").mapInArrow(filters, "slice int, filter binary")
+    return hashed.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(filters, "slice int, filter binary")
 
 
 def _suspects_by_shuffle(docs: DataFrame, filters: DataFrame, n_slices: int, min_chars: int) -> DataFrame:
-    """(doc_id, hash of the text, line numbers) by sending packed line hashes to their slice's filter; for filters too large to broadcast."""
-    schema = "slice int, kind int, filter binary, ids array<bigint>, bodies array<bigint>, numbers array<int>, hashes binary"
+    """(doc_id, digest of the text, line numbers) by sending packed line hashes to their slice's filter; for filters too large to broadcast."""
+    schema = "slice int, kind int, filter binary, ids array<bigint>, bodies array<string>, numbers array<int>, hashes binary"
 
     def hashes(batch):
         ids, bodies = batch.column("doc_id"), batch.column("body")
@@ -158,7 +172,7 @@ def _suspects_by_shuffle(docs: DataFrame, filters: DataFrame, n_slices: int, min
             own, body = ids.take(pa.array(row + lo)), bodies.take(pa.array(row + lo))
             out = [(k, 1, None, own.take(pa.array(p)).to_pylist(), body.take(pa.array(p)).to_pylist(), number[p].tolist(), h[p].tobytes()) for k, p in _groups(_slice(h, n_slices))]
             if out:
-                types = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+                types = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["slice", "kind", "filter", "ids", "bodies", "numbers", "hashes"])
 
     def test(batches):
@@ -171,24 +185,48 @@ def _suspects_by_shuffle(docs: DataFrame, filters: DataFrame, n_slices: int, min
                 h = np.frombuffer(r["hashes"], np.uint64)
                 at = np.flatnonzero(in_packed(now, np.full(len(h), r["slice"]), h))
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([r["ids"][i] for i in at], pa.int64()), pa.array([r["bodies"][i] for i in at], pa.int64()), pa.array([r["numbers"][i] for i in at], pa.int32())], ["doc_id", "body", "number"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r["ids"][i] for i in at], pa.int64()), pa.array([r["bodies"][i] for i in at], pa.string()), pa.array([r["numbers"][i] for i in at], pa.int32())], ["doc_id", "body", "number"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = map_arrow(docs.select("doc_id", "text", "body"), hashes, schema)
-    own = filters.select("slice", F.lit(0).alias("kind"), "filter", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("array<bigint>").alias("bodies"), F.lit(None).cast("array<int>").alias("numbers"), F.lit(None).cast("binary").alias("hashes"))
-    found = own.unionByName(sent).repartition(parts, "slice").sortWithinPartitions("slice", "kind").mapInArrow(test, "doc_id bigint, body bigint, number int")
-    return found.groupBy("doc_id", "body").agg(F.collect_set("number").alias("__suspects"))
+    own = filters.select("slice", F.lit(0).alias("kind"), "filter", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("array<string>").alias("bodies"), F.lit(None).cast("array<int>").alias("numbers"), F.lit(None).cast("binary").alias("hashes"))
+    found = own.unionByName(sent).repartition(parts, "slice").sortWithinPartitions("slice", "kind").mapInArrow(test, "doc_id bigint, body string, number int")
+    return found.groupBy("doc_id", "body").agg(F.collect_set("number").alias("suspects"))
+
+
+class Firsts:
+    """Where suspected lines occur first: rows by id, null ids apart."""
+
+    def __init__(self, rows: pa.Table):
+        ids, numbers = rows["d"], rows["l"].to_numpy().astype(np.int32)
+        null = ids.is_null().to_numpy()
+        self.null = set(numbers[null].tolist())
+        ids, numbers = pc.fill_null(ids, 0).to_numpy()[~null], numbers[~null]
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.numbers = ids[order], numbers[order]
 
+    def of(self, doc_id: int | None) -> set[int]:
+        if doc_id is None:
+            return self.null
+        a, b = np.searchsorted(self.ids, doc_id), np.searchsorted(self.ids, doc_id, side="right")
+        return set(self.numbers[a:b].tolist())
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_broadcast: int = MAX_BROADCAST_BYTES, max_firsts: int = MAX_FIRSTS) -> DataFrame:
     """docs with every later occurrence of a repeated line removed; adds n_removed (int).
 
     A line is what lies between line feeds, compared without surrounding blanks, tabs and
     carriage returns. Lines of fewer than min_chars characters always stay. Occurrences are
     ordered by (doc_id, line number), null ids last; of equal doc_ids each row keeps the lines
     of which that id has the first occurrence at that line number, so repeated rows stay alike.
-    A null text stays null and has n_removed 0; all other columns pass through unchanged, also
-    those whose names are used inside, apart from an existing n_removed, which is replaced.
+    A null text stays null and has n_removed 0, an empty one stays empty; an empty table gives no
+    rows. All other columns pass through unchanged, of whatever name or type, apart from an
+    existing n_removed, which is replaced.
+
+    Only suspected lines are shuffled. The filters and the places of first occurrences are
+    broadcast up to max_broadcast bytes and max_firsts rows; beyond the first, hashes are sent to
+    their slice of the filters, and beyond either, texts with a suspect meet their places by
+    shuffle. Both ways give the same rows.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_removed")
@@ -197,7 +235,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_broadcast: int
     filters = scratch.save(twice_filters(docs, n_slices, min_chars))
     total = filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
     names, schema = docs.columns, docs.schema
-    key, body = docs.select("doc_id", F.col("text")), names.index("text")
+    key, body, id_at = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), names.index("text"), names.index("doc_id")
+    f_suspects, f_first, f_id, f_body, f_doc = fresh(names, "suspects", "first", "id", "body", "doc")
+    wide = with_fields(schema, **{f_suspects: T.ArrayType(T.IntegerType())})
+    shared = None
 
     if total <= max_broadcast:
         shared = spark.sparkContext.broadcast({r["slice"]: r["filter"] for r in filters.collect()})
@@ -209,60 +250,74 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_broadcast: int
                 hit = np.flatnonzero(in_packed(own, _slice(h, n_slices), h))
                 yield lo, hi, data, row[hit], number[hit], s[hit], e[hit]
 
+        def by_row(batch) -> list[list[int]]:
+            out = [[] for _ in range(batch.num_rows)]
+            for lo, _, _, row, number, _, _ in suspects_of(batch.column(body)):
+                for r, n in zip((row + lo).tolist(), number.tolist()):
+                    out[r].append(n)
+            return out
+
         def found(batch):
-            ids = batch.column("doc_id")
-            for lo, _, data, row, number, s, e in suspects_of(batch.column("text")):
+            ids = batch.column(0)
+            for lo, _, data, row, number, s, e in suspects_of(batch.column(1)):
                 if len(row):
                     raw = data.tobytes()
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), pa.array(number, pa.int32()), pa.array([raw[a:b].decode() for a, b in zip(s.tolist(), e.tolist())], pa.string())], ["doc_id", "number", "line"])
 
-        suspects = map_arrow(key.select(F.col("doc_id").cast("bigint"), "text"), found, "doc_id bigint, number int, line string")
+        suspects = map_arrow(key, found, "doc_id bigint, number int, line string")
+    else:
+        # rows are found again by id and a digest of the text, since ids may repeat or be null
+        own_key = key.withColumn("body", F.sha2("text", 256))
+        numbers = scratch.save(_suspects_by_shuffle(own_key, filters, n_slices, min_chars).withColumnsRenamed({"doc_id": "id", "body": "digest"}))
+        held = own_key.join(numbers, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("digest")))
+        each = held.select("doc_id", "text", F.explode("suspects").alias("number"))
+        suspects = each.select("doc_id", "number", F.expr(r"trim(BOTH ' \t\r' FROM element_at(split(text, '\n', -1), number + 1))").alias("line"))
+
+    # of each line the first place: what is exact about it is the text itself
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("number").alias("l"))
+    firsts = scratch.save(suspects.groupBy("line").agg(F.min(order).alias("at")).select("at.d", "at.l"))
+
+    def edited(cols: list, rows: list[tuple[list[int], set[int]]]) -> pa.RecordBatch:
+        out, n = cols[body].to_pylist(), []
+        for k, (suspect, first) in enumerate(rows):
+            gone = set(suspect) - first if suspect else set()
+            n.append(len(gone))
+            if gone:
+                out[k] = "\n".join(x for i, x in enumerate(out[k].split("\n")) if i not in gone)
+        cols = [*cols]
+        cols[body] = pa.array(out, cols[body].type)
+        return pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32())], [*names, "n_removed"])
+
+    final = with_fields(schema, n_removed=T.IntegerType())
+    if shared is not None and firsts.count() <= max_firsts:
+        places = spark.sparkContext.broadcast(Firsts(firsts.toArrow()))
+
+        def edit_here(batch):
+            ids = batch.column(id_at).cast(pa.int64()).to_pylist()
+            yield edited(batch.columns, [(s, places.value.of(i) if s else set()) for s, i in zip(by_row(batch), ids)])
+
+        return map_arrow(docs, edit_here, final)
+
+    if shared is not None:
 
         def marked(batch):
-            out = [[] for _ in range(batch.num_rows)]
-            for lo, _, _, row, number, _, _ in suspects_of(batch.column(body)):
-                for r, n in zip((row + lo).tolist(), number.tolist()):
-                    out[r].append(n)
-            cols = [*batch.columns, pa.array([x or None for x in out], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "__suspects"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x or None for x in by_row(batch)], pa.list_(pa.int32()))], [*names, f_suspects])
 
-        everything = map_arrow(docs, marked, _ddl(schema, "__suspects array<int>"))
+        everything = map_arrow(docs, marked, wide)
     else:
-        # rows are found again by id and hash of the text, since ids may repeat or be null
-        found = _suspects_by_shuffle(key.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("body")), filters, n_slices, min_chars)
-        numbers = scratch.save(found.withColumnsRenamed({"doc_id": "__id", "body": "__body"}))
-        own = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__body"))
-        held = key.join(numbers, own)
-        each = held.select(F.col("__id").alias("doc_id"), F.col("text").alias("__text"), F.explode("__suspects").alias("number"))
-        suspects = each.select("doc_id", "number", F.trim(F.element_at(F.split("__text", "\n", -1), F.col("number") + 1)).alias("line"))
-        suspects = suspects.withColumn("line", F.expr(r"trim(BOTH ' \t\r' FROM line)"))
-        everything = docs.join(numbers, own, "left").drop("__id", "__body")
-
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("number").alias("l"))
-    firsts = suspects.groupBy("line").agg(F.min(order).alias("at"))
-    kept = scratch.save(firsts.groupBy(F.col("at.d").alias("__id")).agg(F.collect_set("at.l").alias("__first")))
+        again = numbers.select(F.col("id").alias(f_id), F.col("digest").alias(f_body), F.col("suspects").alias(f_suspects))
+        own = F.col("doc_id").cast("bigint").eqNullSafe(F.col(f_id)) & (F.sha2("text", 256) == F.col(f_body))
+        everything = docs.join(again, own, "left").drop(f_id, f_body)
+    kept = firsts.groupBy(F.col("d").alias(f_doc)).agg(F.collect_set("l").alias(f_first))
 
     def edit(batch):
-        body_col, n = batch.column(body).to_pylist(), []
         first, suspect = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-        for k, text in enumerate(body_col):
-            gone = set(suspect[k]) - set(first[k] or ())
-            n.append(len(gone))
-            if gone:
-                body_col[k] = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
-        cols = [*batch.columns[: len(names)]]
-        cols[body] = pa.array(body_col, cols[body].type)
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32())], [*names, "n_removed"])
+        yield edited(batch.columns[: len(names)], [(s or [], set(f or ())) for s, f in zip(suspect, first)])
 
-    clean = everything.filter(F.col("__suspects").isNull()).select(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("n_removed"))
+    clean = everything.filter(F.col(f_suspects).isNull()).select(*quoted(names), F.lit(0).alias("n_removed"))
     # by shuffle at every size; the side built per partition holds only line numbers
-    dirty = everything.filter(F.col("__suspects").isNotNull()).join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    dirty = dirty.select(*[F.col(f"`{c}`") for c in names], "__first", "__suspects")
-    return clean.unionByName(map_arrow(dirty, edit, _ddl(schema, "n_removed int")))
-
-
-def _ddl(schema, extra: str) -> str:
-    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields), extra])
+    dirty = everything.filter(F.col(f_suspects).isNotNull()).join(kept.hint("shuffle_hash"), F.col("doc_id").cast("bigint").eqNullSafe(F.col(f_doc)), "left")
+    return clean.unionByName(map_arrow(dirty.select(*quoted(names), f_first, f_suspects), edit, final))
 
 
 ORACLE = """

@@ -12,9 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import grams, map_arrow, mix, prefix, span_hash, texts, windows, words
-from .decontaminate import schema_ddl
+from .common import Scratch, grams, map_arrow, mix, prefix, span_hash, texts, windows, with_fields, words
 
 BINS, SAMPLE_ROWS, THRESHOLD = 1 << 14, 8192, 0.5
 #: Texts of fewer words say nothing about their share of short words.
@@ -256,4 +256,4 @@ def score(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, bins: int = BINS, thr
         out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*names, "quality"])
         yield out.filter(pa.array(got >= threshold)) if keep_only else out
 
-    return map_arrow(docs, run, schema_ddl(docs.schema) + ", quality double")
+    return map_arrow(docs, run, with_fields(docs.schema, quality=T.DoubleType()))

@@ -127,6 +127,41 @@ def test_sharding_splits_at_weighted_medians(spark):
     assert got == want and len(set(got.values())) > 8
 
 
+def test_sharding_by_whole_strings_and_nulls(spark):
+    rng = np.random.default_rng(14)
+    sources = [f"https://example.org/crawl/{c}" for c in "abcdefg"] + [None, ""]
+    rows = [(int(i) + 2**60, "x" * int(n), rng.choice(["en", "fr", None]), sources[rng.integers(9)], int(rng.integers(-50, 50)) if i % 7 else None, float(rng.choice([-math.inf, -1.5, 0.0, 2.5, math.inf, math.nan]))) for i, n in enumerate(rng.integers(0, 400, 400))]
+    rows = [(None if i == 5 else r[0], *(None if isinstance(x, str) and x == "None" else x for x in r[1:])) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, odd double")
+    for dims, bound in ((("source",), 1 << 20), (("lang", "source", "n_chars", "odd", "doc_id"), 0)):
+        want, x, w = {}, np.zeros((len(rows), len(dims))), np.array([len(r[1]) for r in rows])
+        for k, d in enumerate(dims):
+            own = [r[df.columns.index(d)] for r in rows]
+            if d in ("n_chars", "doc_id"):
+                least = min(v for v in own if v is not None)
+                x[:, k] = [0 if v is None else v - least + 1 for v in own]
+            else:
+                order = sorted({v for v in own if v is not None and v == v}) + [None]
+                x[:, k] = [0 if v is None else len(order) if v != v else order.index(v) + 1 for v in own]
+        whole = np.ptp(x, axis=0)
+
+        def split(at, node):
+            span = np.ptp(x[at], axis=0) / whole
+            if w[at].sum() <= 12_000 or span.max() <= 0:
+                want.update((k, node) for k in at.tolist())
+                return
+            v = x[at, span.argmax()]
+            cut = next(c for c in np.unique(v) if w[at][v <= c].sum() >= w[at].sum() / 2)
+            right = v >= cut if cut == v.max() else v > cut
+            split(at[~right], 2 * node)
+            split(at[right], 2 * node + 1)
+
+        split(np.arange(len(rows)), 1)
+        got = {r.doc_id: r.shard for r in kdshard.shard(df, 12_000, dims, max_broadcast=bound).collect()}
+        assert got == {rows[k][0]: v for k, v in want.items()}, dims
+        assert len(set(got.values())) > 4
+
+
 def test_html_votes(spark):
     pages = read(spark, SMALL, "pages")
     rows, votes = pages.collect(), defaultdict(lambda: defaultdict(lambda: [0, 0.0]))
@@ -206,8 +241,23 @@ def test_line_dedup_both_ways(spark):
             if not gone:
                 kept.append(line)
         want.append((r.doc_id, "\n".join(kept), n))
-    for bound in (linededup.MAX_BROADCAST_BYTES, -1):
-        assert sorted(map(tuple, linededup.dedup_lines(docs, max_broadcast=bound).collect())) == want
+    for bound, firsts in ((linededup.MAX_BROADCAST_BYTES, linededup.MAX_FIRSTS), (linededup.MAX_BROADCAST_BYTES, 0), (-1, 0)):
+        assert sorted(map(tuple, linededup.dedup_lines(docs, max_broadcast=bound, max_firsts=firsts).collect())) == want
+
+
+def test_decontamination_both_ways(spark):
+    docs, bench = read(spark, SMALL, "documents"), read(spark, SMALL, "benchmark")
+    want = sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()))
+    assert want and want == sorted(map(tuple, decontaminate.find_leaks(docs, bench, max_grams=0).collect()))
+    clean = [sorted(map(tuple, decontaminate.clean(docs, bench, max_grams=m).collect())) for m in (decontaminate.MAX_BROADCAST_GRAMS, 0)]
+    assert clean[0] == clean[1] != sorted(map(tuple, docs.collect()))
+
+
+def test_bloom_filter_forgets_nothing():
+    h = np.random.default_rng(12).integers(0, 1 << 63, 30_000, dtype=np.uint64)
+    f = linededup.Bloom()
+    f.add(h[:20_000])
+    assert f.seen(h[:20_000]).all() and f.seen(h[20_000:]).mean() < 0.05
 
 
 def test_topk_over_several_blocks(spark):

@@ -4,6 +4,7 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from searchlake.llm import decontaminate, htmltext, kdshard, linededup, neardup, packing, quality, secrets, toxicity, vafile
 
@@ -16,9 +17,32 @@ def bench(spark):
     return spark.createDataFrame(rows, BENCH)
 
 
+CLASHES = ("__suspects", "__first", "__id", "__hits", "suspects", "first", "ID_", "body", "digest", "hits", "item_id", "doc", "h", "gram", "pos", "size")
+
+
+@pytest.fixture
+def clashing(odd):
+    """More columns whose names are used inside, and a field with a blank in its name."""
+    return odd.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)], F.struct(F.lit(1).alias("a b"), F.lit("x").alias("c`d")).alias("nested one"))
+
+
+def test_clashing_columns(clashing, bench):
+    def rest(df):
+        return sorted((str(r["doc_id"]), *(r[c] for c in CLASHES), tuple(r["nested one"])) for r in df.collect())
+
+    want = rest(clashing)
+    for bound, firsts in ((1 << 20, 100), (1 << 20, 0), (-1, 0)):
+        got = linededup.dedup_lines(clashing, max_broadcast=bound, max_firsts=firsts)
+        assert got.columns == [*clashing.columns, "n_removed"] and rest(got) == want
+    for bound in (10**6, 0):
+        got = decontaminate.clean(clashing, bench.withColumn("hits", F.lit(1)), drop_share=1.0, max_grams=bound)
+        assert got.columns == clashing.columns and rest(got) == want
+    assert quality.score(clashing, keep_only=False).columns == [*clashing.columns, "quality"]
+
+
 def test_line_dedup(odd, none):
-    for bound in (1 << 20, -1):
-        got = linededup.dedup_lines(odd, max_broadcast=bound)
+    for bound, firsts in ((1 << 20, 100), (1 << 20, 0), (-1, 0)):
+        got = linededup.dedup_lines(odd, max_broadcast=bound, max_firsts=firsts)
         assert got.columns == [*odd.columns, "n_removed"]
         rows = got.collect()
         assert len(rows) == odd.count()
@@ -58,6 +82,14 @@ def test_decontaminate(odd, none, bench):
         assert decontaminate.clean(none, bench, max_grams=bound).collect() == []
 
 
+def test_size_of_the_benchmark_counts_words_and_bytes(spark):
+    lines = spark.createDataFrame([(1, "\n".join(f"w{k}" for k in range(30_000)))], "item_id bigint, text string")
+    assert decontaminate._collected(lines, 8, 5, 1000) is None
+    assert len(decontaminate._collected(lines, 8, 5, 30_000).sizes[8][0]) == 29_993
+    long = spark.createDataFrame([(1, "x" * (decontaminate.MAX_BROADCAST_BYTES + 1))], "item_id bigint, text string")
+    assert decontaminate._collected(long, 8, 5, 1000) is None
+
+
 def test_packing(odd, none):
     got = packing.pack(odd, window=64, shard_windows=2).collect()
     assert {r.doc_id for r in got} == {1, None, 5, 6, 7, 8}
