@@ -28,12 +28,11 @@ class Catalog:
         return self.load(schema.name)
 
     def load(self, name: str) -> Collection:
-        """Open a collection and sweep away what a broken write left."""
+        """Open a collection. Nothing is deleted: what broken writes left is in no manifest, and Storage.sweep() frees it."""
         path = self._path(name)
         if not Files(self.spark).exists(f"{path}/schema.json"):
             raise NotExisted(f"collection {name}")
         c = Collection(self.spark, path)
-        c.storage.sweep()
         self.open[name] = c
         return c
 

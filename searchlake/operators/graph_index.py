@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..scratch import written
-from .vector_index import best, exact, meet, packed, part_of, parts_for, valid_queries
+from .vector_index import RESULT, best, meet, packed, part_of, parts_for, valid_queries
 
 SHARD_ROWS = 50_000
 
@@ -26,11 +26,14 @@ def _d(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return ((x - q) ** 2).sum(axis=1)
 
 
-def beam(vectors_: np.ndarray, links: np.ndarray, q: np.ndarray, entry: list[int], width: int) -> list[tuple[float, int]]:
-    """Best-first search on one layer: the width nearest found, nearest first. links rows end in -1."""
+def beam(vectors_: np.ndarray, links: np.ndarray, q: np.ndarray, entry: list[int], width: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
+    """Best-first search on one layer: the width nearest found, nearest first. links rows end in -1.
+
+    Points that allowed leaves out lead on to others, but are not found and do not end the search.
+    """
     seen = set(entry)
-    start = [(float(d), e) for d, e in zip(_d(q, vectors_[entry]), entry)]
-    todo, found = list(start), [(-d, e) for d, e in start]
+    todo = [(float(d), e) for d, e in zip(_d(q, vectors_[entry]), entry)]
+    found = [(-d, e) for d, e in todo if allowed is None or allowed[e]]
     heapq.heapify(todo)
     heapq.heapify(found)
     while todo:
@@ -44,9 +47,10 @@ def beam(vectors_: np.ndarray, links: np.ndarray, q: np.ndarray, entry: list[int
         for dj, j in zip(_d(q, vectors_[near]).tolist(), near):
             if len(found) < width or dj < -found[0][0]:
                 heapq.heappush(todo, (dj, j))
-                heapq.heappush(found, (-dj, j))
-                if len(found) > width:
-                    heapq.heappop(found)
+                if allowed is None or allowed[j]:
+                    heapq.heappush(found, (-dj, j))
+                    if len(found) > width:
+                        heapq.heappop(found)
     return sorted((-d, j) for d, j in found)
 
 
@@ -99,13 +103,17 @@ class Hnsw:
                 entry, top = i, int(level[i])
         return cls(ids, x, layers, entry)
 
-    def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
+    def search(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
         if not len(self.x):
             return []
+        if allowed is not None and allowed.sum() <= 4 * max(k, ef):  # so few are compared faster than found
+            own = np.flatnonzero(allowed)
+            d = _d(q, self.x[own])
+            return [(float(d[j]), int(own[j])) for j in np.lexsort((own, d))[:k]]
         at = [self.entry]
         for h in range(len(self.layers) - 1, 0, -1):
             at = [beam(self.x, self.layers[h], q, at, 1)[0][1]]
-        return beam(self.x, self.layers[0], q, at, max(k, ef))[:k]
+        return beam(self.x, self.layers[0], q, at, max(k, ef), allowed)[:k]
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -179,13 +187,14 @@ KINDS = {"hnsw": Hnsw, "ssg": Ssg}
 
 
 class GraphIndex:
-    """Sharded graphs as a table (shard, graph)."""
+    """Sharded graphs as a table (shard, shards, graph)."""
 
     def __init__(self, graphs: DataFrame, kind: str = "hnsw"):
         self.graphs, self.kind = graphs, kind
 
     @classmethod
-    def build(cls, df: DataFrame, id_col: str = "_id", vector_col: str = "vector", kind: str = "hnsw", shard_rows: int = SHARD_ROWS, **parameters) -> GraphIndex:
+    def build(cls, df: DataFrame, id_col: str = "_id", vector_col: str = "vector", kind: str = "hnsw", shard_rows: int = SHARD_ROWS, path: str | None = None, **parameters) -> GraphIndex:
+        """The graphs are built once and written, to path or to the shared folder."""
         maker = KINDS[kind]
         rows = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(vectors.is_valid(F.col("v")))
         shards = max(1, -(-rows.count() // shard_rows))
@@ -194,44 +203,49 @@ class GraphIndex:
             table = table.sort_by("_id").combine_chunks()
             x = np.asarray(table["v"].combine_chunks().flatten()).reshape(table.num_rows, -1)
             graph = maker.build(table["_id"].to_numpy(), x, **parameters)
-            return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "graph": pa.array([graph.dump()], pa.binary())})
+            return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "shards": pa.array([shards], pa.int32()), "graph": pa.array([graph.dump()], pa.binary())})
 
-        sharded = rows.withColumn("shard", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int"))
-        return cls(written(sharded.groupBy("shard").applyInArrow(one, "shard int, graph binary"), "graph"), kind)
+        sharded = rows.withColumn("shard", _shard(F.lit(shards)))
+        made = sharded.groupBy("shard").applyInArrow(one, "shard int, shards int, graph binary")
+        if path is None:
+            return cls(written(made, "graph"), kind)
+        made.write.mode("overwrite").parquet(path)
+        return cls.load(df.sparkSession, path, kind)
 
     def search(self, queries: DataFrame, k: int, ef: int = 100, allowed: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
-        """With a filter, the allowed points of each shard are ranked exactly: a beam that holds k of them widens to most of a shard."""
+        """allowed: the _ids that may be found; deleted: those that may not. Both work inside the walk: points left out still lead on."""
         maker, width = KINDS[self.kind], max(k, ef)
         shards = [r[0] for r in self.graphs.select("shard").distinct().collect()]
+        if not shards:
+            return queries.sparkSession.createDataFrame([], RESULT + ", rank int")
+        total = self.graphs.select("shards").first()[0]
         valid = valid_queries(queries)
         parts = parts_for(queries, max(1, len(shards)), max(1, len(shards)))
         each = valid.withColumn("cell", F.explode(F.array(*map(F.lit, shards)).cast("array<int>")))
         asks = packed(each.select(part_of(parts), "cell", "_id", "v", F.lit(None).alias("more")))
+        keep = allowed is not None
+        listed = allowed.select("_id") if keep else None
+        if deleted is not None:
+            listed = listed.join(deleted.select("_id"), "_id", "left_anti") if keep else deleted.select("_id")
 
         def walk(near, shard, q, ids, raw, more):
             g = maker.load(raw)
+            mask = None if listed_none else np.isin(g.ids, np.frombuffer(more, np.int64)) == keep
+            if mask is not None and not mask.any():
+                return
             for at, v in enumerate(q):
-                if len(v) == g.x.shape[1] and (found := g.search(v, k, width)):
+                if len(v) == g.x.shape[1] and (found := g.search(v, k, width, mask)):
                     d, j = map(np.array, zip(*found))
                     near.take(np.full(len(d), at), g.ids[j], d)
 
-        if allowed is None and deleted is None:
-            data = self.graphs.select(F.col("shard").cast("bigint").alias("cell"), F.lit(None).cast("binary").alias("ids"), F.col("graph").alias("vectors"), F.lit(None).cast("binary").alias("more"))
-            return best(meet(asks, data, parts, parts * len(shards), k, walk), k)
-
-        def points(batches):
-            for b in batches:
-                for shard, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                    g = maker.load(raw.as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g.ids), shard, np.int32)), pa.array(g.ids), pa.array(g.x.tolist(), pa.list_(pa.float64()))], ["cell", "_id", "v"])
-
-        rows = self.graphs.select("shard", "graph").mapInArrow(points, "cell int, _id bigint, v array<double>")
-        if allowed is not None:
-            rows = rows.join(allowed.select("_id"), "_id", "left_semi")
-        if deleted is not None:
-            rows = rows.join(deleted.select("_id"), "_id", "left_anti")
-        data = packed(rows.select(F.lit(0).alias("part"), "cell", "_id", "v", F.lit(None).alias("more")))
-        return best(meet(asks, data, parts, parts * len(shards), k, exact("euclidean")), k)
+        listed_none, data = listed is None, self.graphs.select(F.col("shard").cast("bigint").alias("cell"), F.lit(None).cast("binary").alias("ids"), F.col("graph").alias("vectors"))
+        if listed_none:
+            data = data.withColumn("more", F.lit(None).cast("binary"))
+        else:
+            # the ids go to their shard, of which there are no more than a shard holds
+            own = listed.select(F.col("_id").cast("bigint").alias("_id")).distinct().select(_shard(F.lit(total)).cast("bigint").alias("cell"), "_id")
+            data = data.join(own.groupBy("cell").agg(F.collect_list("_id").alias("listed")), "cell", "left").mapInArrow(_ids_as_bytes, "cell bigint, ids binary, vectors binary, more binary")
+        return best(meet(asks, data, parts, parts * len(shards), k, walk), k)
 
     def save(self, path: str) -> None:
         self.graphs.write.mode("overwrite").parquet(path)
@@ -239,3 +253,13 @@ class GraphIndex:
     @classmethod
     def load(cls, spark, path: str, kind: str = "hnsw") -> GraphIndex:
         return cls(spark.read.parquet(path), kind)
+
+
+def _shard(shards):
+    return F.pmod(F.xxhash64("_id"), shards).cast("int")
+
+
+def _ids_as_bytes(batches):
+    for b in batches:
+        more = [np.array(x or [], np.int64).tobytes() for x in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(more, pa.binary())], ["cell", "ids", "vectors", "more"])

@@ -44,12 +44,17 @@ class Applied:
     hidden: DataFrame
 
 
+def _alone():
+    """Apart for each unnamed action, which no other can affect: else all of them would be in one partition of a window."""
+    return F.when(F.col("_name") == "", F.col("_seq"))
+
+
 def decide(names: DataFrame, batch: DataFrame) -> DataFrame:
     """batch with a code for each action. names: the collection's live _name values. An empty name matches nothing."""
     known = names.select(F.col("_name").alias("__known")).filter("__known <> ''").distinct()
     bad = F.col("_invalid") if "_invalid" in batch.columns else F.lit(False)
     state = F.when(bad, None).otherwise(F.col("_action") != DELETE)
-    before = Window.partitionBy("_name").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_name", _alone()).orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
     seen = batch.join(known, F.col("_name") == F.col("__known"), "left")
     seen = seen.withColumn("__exists", F.when(F.col("_name") == "", False).otherwise(F.coalesce(F.last(state, ignorenulls=True).over(before), F.col("__known").isNotNull())))
     code = F.when(bad, CODES["InvalidParam"])
@@ -69,7 +74,7 @@ def apply_batch(base: DataFrame, batch: DataFrame, next_id: int | None = None) -
         next_id = (base.agg(F.max("_id")).first()[0] or 0) + 1
     coded = decide(base.select("_name"), batch)
     replaces = (F.col("code") == 0) & F.col("_action").isin(UPSERT, DELETE) & (F.col("_name") != "")
-    after = Window.partitionBy("_name").orderBy("_seq").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("_name", _alone()).orderBy("_seq").rowsBetween(1, Window.unboundedFollowing)
     coded = coded.withColumn("__replaced", F.coalesce(F.max(replaces).over(after), F.lit(False)))
     writes = coded.filter((F.col("code") == 0) & (F.col("_action") != DELETE))
     numbered = number_rows(writes, "_seq", "_id", next_id - 1)

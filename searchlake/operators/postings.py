@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.analysis import Analyzer
 from ..plans.compiler import bm25, phrase_match
@@ -22,11 +25,27 @@ def doc_lengths(df: DataFrame, field: str, analyzer: Analyzer = Analyzer(), id_c
 
 
 def postings(df: DataFrame, field: str, analyzer: Analyzer = Analyzer(), id_col: str = "_id") -> DataFrame:
-    """(_id, token, tf, positions, dl), one row for each token of each text."""
-    tokens = df.select(F.col(id_col).alias("_id"), analyzer.tokens(F.col(f"`{field}`")).alias("t"))
-    each = tokens.select("_id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "token"))
-    grouped = each.groupBy("_id", "token", "dl").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.select("_id", "token", "tf", "positions", "dl")
+    """(_id, token, tf, positions, dl), one row for each token of each text: all of a text's tokens are in its row, so nothing is shuffled."""
+    tokens = df.select(F.col(id_col).alias("_id"), analyzer.tokens(F.col(f"`{field}`")).alias("t")).filter("size(t) > 0")
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            if not len(flat):
+                continue
+            row, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            coded = flat.dictionary_encode()
+            code = coded.indices.to_numpy()
+            order = np.lexsort((code, row))  # stable, so that positions stay in order
+            start = np.flatnonzero(np.append(True, (np.diff(row[order]) != 0) | (np.diff(code[order]) != 0)))
+            ends, at = np.append(start, len(order)).astype(np.int32), row[order[start]]
+            places = pa.ListArray.from_arrays(pa.array(ends), pa.array((order - first[row[order]]).astype(np.int32)))
+            cols = [b.column(0).take(pa.array(at)), coded.dictionary.take(pa.array(code[order[start]])), pa.array(np.diff(ends)), places, pa.array(size[at].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["_id", "token", "tf", "positions", "dl"])
+
+    schema = T.StructType([tokens.schema["_id"], *T.StructType.fromDDL("token string, tf int, positions array<int>, dl int").fields])
+    return tokens.mapInArrow(run, schema)
 
 
 def document_frequencies(posts: DataFrame) -> DataFrame:
@@ -34,9 +53,17 @@ def document_frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("token").agg(F.count("*").alias("df"))
 
 
+def write(df: DataFrame, field: str, path: str, analyzer: Analyzer = Analyzer(), id_col: str = "_id", buckets: int | None = None) -> None:
+    """Write a text field's postings, sorted by token, and the lengths of its texts."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = postings(df, field, analyzer, id_col)
+    rows.repartitionByRange(n, "token").sortWithinPartitions("token", "_id").write.mode("overwrite").parquet(f"{path}/postings")
+    doc_lengths(df, field, analyzer, id_col).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
 @dataclass
 class PostingsIndex:
-    """A text field's index. build() writes it; open() reads it."""
+    """A text field's index. build() writes it; open() reads one or several that were written, of disjoint records."""
 
     posts: DataFrame
     stats: DataFrame
@@ -44,16 +71,17 @@ class PostingsIndex:
 
     @classmethod
     def build(cls, df: DataFrame, field: str, path: str, analyzer: Analyzer = Analyzer(), id_col: str = "_id", buckets: int | None = None) -> PostingsIndex:
-        spark = df.sparkSession
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = postings(df, field, analyzer, id_col)
-        rows.repartitionByRange(n, "token").sortWithinPartitions("token", "_id").write.mode("overwrite").parquet(f"{path}/postings")
-        doc_lengths(df, field, analyzer, id_col).agg(F.count("*").alias("n"), F.sum("dl").alias("total")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-        return cls.open(spark, path, analyzer)
+        write(df, field, path, analyzer, id_col, buckets)
+        return cls.open(df.sparkSession, [path], analyzer)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, analyzer: Analyzer = Analyzer()) -> PostingsIndex:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), analyzer)
+    def open(cls, spark: SparkSession, paths: str | list[str], analyzer: Analyzer = Analyzer(), deleted: DataFrame | None = None) -> PostingsIndex:
+        """deleted: the _ids that count no more, in no statistic either."""
+        paths = [paths] if isinstance(paths, str) else paths
+        posts, lengths = (spark.read.parquet(*[f"{p}/{kind}" for p in paths]) for kind in ("postings", "lengths"))
+        if deleted is not None:
+            posts, lengths = (df.join(deleted.select("_id"), "_id", "left_anti") for df in (posts, lengths))
+        return cls(posts, lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")), analyzer)
 
     def _hits(self, tokens: list[str]) -> DataFrame:
         return self.posts.filter(F.col("token").isin(tokens))

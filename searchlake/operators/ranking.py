@@ -87,6 +87,14 @@ def last_turns(turns: DataFrame, conversation: str, order: str, n: int) -> DataF
     return turns.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= n)
 
 
+def change_messages(messages: DataFrame, edits: DataFrame | None = None, removed: DataFrame | None = None, key: tuple[str, ...] = ("conv_id", "turn")) -> DataFrame:
+    """Messages after those of edits were added, or put in the place of the ones of their key, and those of the keys in removed were taken away."""
+    out = messages
+    if edits is not None:
+        out = out.join(edits.select(*key), list(key), "left_anti").unionByName(edits)
+    return out if removed is None else out.join(removed.select(*key), list(key), "left_anti")
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in kilometres of points in degrees."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)

@@ -146,14 +146,19 @@ def meet(asks: DataFrame, data: DataFrame, parts: int, tasks: int, k: int, rank:
     return one.unionByName(other).repartition(min(max(tasks, 1), 4096), "part", "cell").sortWithinPartitions("part", "cell", "kind").mapInArrow(run, RESULT)
 
 
-def exact(metric: str) -> Callable:
-    """For meet(): ranks every vector of a block."""
+def exact(metric: str, others: bool = False, digits: int | None = None) -> Callable:
+    """For meet(): ranks every vector of a block; with others none of the query's own id, with digits by rounded distances."""
 
     def rank(near, cell, q, ids, raw, more):
         ids = np.frombuffer(ids, np.int64)
         x = np.frombuffer(raw).reshape(len(ids), -1)
         for lo in range(0, len(q), SLICE):
-            near.add(lo, ids, distances(q[lo : lo + SLICE], x, metric))
+            d = distances(q[lo : lo + SLICE], x, metric)
+            if digits is not None:
+                d = np.round(d, digits)
+            if others:
+                d[near.q_ids[lo : lo + SLICE][:, None] == ids] = np.inf
+            near.add(lo, ids, d)
 
     return rank
 
@@ -189,20 +194,18 @@ class FlatIndex:
         self.df = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vector_col).cast("array<double>").alias("v"), *[c for c in df.columns if c not in ("_id", "v", id_col, vector_col)])
         self.metric = metric
 
-    def search(self, queries: DataFrame, k: int, where=None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, where=None, others: bool = False, digits: int | None = None) -> DataFrame:
         rows = self.df if where is None else self.df.filter(where)
         asks, parts = valid_queries(queries), parts_for(queries, 1)
         asks = packed(asks.select(part_of(parts), F.size("v").alias("cell"), "_id", "v", F.lit(None).alias("more")))
         data = packed(rows.filter(vectors.is_valid(F.col("v"))).select(F.lit(0).alias("part"), F.size("v").alias("cell"), "_id", "v", F.lit(None).alias("more")))
-        return best(meet(asks, data, parts, parts, k, exact(self.metric)), k)
+        return best(meet(asks, data, parts, parts, k, exact(self.metric, others, digits)), k)
 
 
-def knn_graph(df: DataFrame, k: int, id_col: str = "_id", vector_col: str = "vector", metric: str = "euclidean") -> DataFrame:
-    """(query_id, _id, distance, rank): the exact k nearest others of every vector, all in the JVM."""
-    a = df.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("__q"))
-    b = df.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("__v"))
-    pairs = a.crossJoin(b).filter("query_id <> _id").select("query_id", "_id", vectors.distance(F.col("__q"), F.col("__v"), metric).alias("distance"))
-    return best(pairs, k)
+def knn_graph(df: DataFrame, k: int, id_col: str = "_id", vector_col: str = "vector", metric: str = "euclidean", digits: int | None = None) -> DataFrame:
+    """(query_id, _id, distance, rank): the exact k nearest others of every vector, by matrix products of blocks."""
+    queries = df.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("vector"))
+    return FlatIndex(df, id_col, vector_col, metric).search(queries, k, others=True, digits=digits)
 
 
 def kmeans(df: DataFrame, k: int, id_col: str = "_id", vector_col: str = "vector", seed: int = 11, iterations: int = 20):

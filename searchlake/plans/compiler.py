@@ -1,8 +1,10 @@
 """From a query tree to a DataFrame.
 
 Each node becomes a pair of columns, whether a record matches and what it then scores, over one
-DataFrame, so that Catalyst sees every filter and pushes what it can into the scan. Text nodes
-add the token counts that they need; the collection's statistics are one broadcast row.
+DataFrame. A test of a field is written bare, so that Parquet gets it: a missing value makes it
+null, which a filter drops like false. NOT is carried down to the tests, where it lets missing
+values in. Text nodes add the token counts that they need; each text is tokenised once, and only
+where the tests of other fields hold; the collection's statistics are one broadcast row.
 """
 
 from __future__ import annotations
@@ -86,14 +88,15 @@ class Compiler:
             return F.lit(str(value)).cast(kind)
         return F.lit(str(value).lower() if isinstance(value, bool) else str(value))
 
-    def _leaf(self, name: str, test) -> Column:
-        """A two-valued test of a scalar, or of any element of a list; missing values pass no test."""
+    def _leaf(self, name: str, test, negated: bool) -> Column:
+        """A test of a scalar, or of any element of a list; missing values pass no test, and every negated one."""
         kind, col = self._type(name), F.col(f"`{name}`")
         if name in self.analyzers:
             raise NotSupported(f"{name} is a text field: only = matches it")
         if isinstance(kind, T.ArrayType):
-            return F.coalesce(F.exists(col, lambda x: test(x, kind.elementType)), F.lit(False))
-        return F.coalesce(test(col, kind), F.lit(False))
+            any_of = F.exists(col, lambda x: test(x, kind.elementType))
+            return ~F.coalesce(any_of, F.lit(False)) if negated else any_of
+        return ~test(col, kind) | col.isNull() if negated else test(col, kind)
 
     # Text
 
@@ -133,15 +136,19 @@ class Compiler:
             return self.df, None
 
         def counted(df: DataFrame, positions: bool) -> DataFrame:
-            df = df.select("*", *[self.analyzers.get(f, Analyzer()).tokens(F.col(f"`{f}`")).alias(f"__tok{k}") for f, k in self.fields.items()])
-            cols = [F.coalesce(F.size(f"__tok{k}"), F.lit(0)).alias(f"__dl{k}") for k in self.fields.values()]
-            for (f, t), k in self.slots.items():
-                tokens = F.col(f"__tok{self.fields[f]}")
-                cols.append(F.coalesce(F.size(F.filter(tokens, _equal(t))), F.lit(0)).alias(f"__tf{k}"))
-                if positions and need[f][t]:
-                    spots = F.transform(tokens, _place(t))
-                    cols.append(F.filter(spots, lambda i: i.isNotNull()).alias(f"__pos{k}"))
-            return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("__tok")], *cols)
+            def values(*tokens: Column) -> Column:
+                out = [F.coalesce(F.size(t), F.lit(0)).alias(f"__dl{k}") for k, t in enumerate(tokens)]
+                for (f, t), k in self.slots.items():
+                    own = tokens[self.fields[f]]
+                    out.append(F.coalesce(F.size(F.filter(own, _equal(t))), F.lit(0)).alias(f"__tf{k}"))
+                    if positions and need[f][t]:
+                        out.append(F.filter(F.transform(own, _place(t)), lambda i: i.isNotNull()).alias(f"__pos{k}"))
+                return F.struct(*out)
+
+            # a generator over one element: its columns cannot be pushed below it, so that every text is tokenised once
+            made = F.struct(*[self.analyzers.get(f, Analyzer()).tokens(F.col(f"`{f}`")).alias(f"t{k}") for f, k in self.fields.items()])
+            each = F.transform(F.array(made), lambda x: values(*[x[f"t{k}"] for k in self.fields.values()]))
+            return df.select("*", F.inline(each))
 
         narrow = counted(self.df.select(*[F.col(f"`{f}`") for f in self.fields]), False)
         stats = narrow.agg(
@@ -153,29 +160,28 @@ class Compiler:
 
     # Nodes
 
-    def node(self, n: Node) -> tuple[Column, Column]:
-        """(match, score) of a node."""
-        if isinstance(n, And):
-            (lm, ls), (rm, rs) = self.node(n.left), self.node(n.right)
-            return lm & rm, ls + rs
-        if isinstance(n, Or):
-            (lm, ls), (rm, rs) = self.node(n.left), self.node(n.right)
+    def node(self, n: Node, negated: bool = False) -> tuple[Column, Column]:
+        """(match, score) of a node, or of its negation; the score counts where it matches."""
+        if isinstance(n, (And, Or)):
+            (lm, ls), (rm, rs) = self.node(n.left, negated), self.node(n.right, negated)
+            if isinstance(n, And) != negated:
+                return lm & rm, ls + rs
             return lm | rm, F.when(lm, ls).otherwise(0.0) + F.when(rm, rs).otherwise(0.0)
         if isinstance(n, Not):
-            return ~self.node(n.child)[0], F.lit(1.0)
-        if isinstance(n, Text):
-            return self._text(n)
-        if isinstance(n, Phrase):
-            return self._phrase(n)
+            return self.node(n.child, not negated)[0], F.lit(1.0)
+        if isinstance(n, (Text, Phrase)):
+            match, score = self._text(n) if isinstance(n, Text) else self._phrase(n)
+            return ~match if negated else match, score
         if isinstance(n, Knn):
             raise NotSupported("knn stands by itself or joined by AND to the rest of a query")
+        inverted = n.negated != negated
         if isinstance(n, Term):
-            match = self._leaf(n.field, lambda x, kind: x == self._literal(n.value, kind))
+            match = self._leaf(n.field, lambda x, kind: x == self._literal(n.value, kind), inverted)
         elif isinstance(n, InList):
-            match = self._leaf(n.field, lambda x, kind: x.isin(*[self._literal(v, kind) for v in n.values]) if n.values else F.lit(False))
+            match = self._leaf(n.field, lambda x, kind: x.isin(*[self._literal(v, kind) for v in n.values]) if n.values else F.lit(False), inverted)
         else:
-            match = self._leaf(n.field, lambda x, kind: self._range(n, x, kind))
-        return (~match if n.negated else match), F.lit(float(n.boost))
+            match = self._leaf(n.field, lambda x, kind: self._range(n, x, kind), inverted)
+        return match, F.lit(float(n.boost))
 
     def _range(self, n: Between, x: Column, kind: T.DataType) -> Column:
         tests = []
@@ -241,8 +247,12 @@ class Compiler:
         if not isinstance(self._type(knn.field), T.ArrayType):
             raise InvalidParam(f"{knn.field} is no vector field")
         col = F.col(f"`{knn.field}`")
-        df = df.filter(vectors.is_valid(col, len(knn.vector)))
-        df = df.withColumn("__distance", vectors.distance(col, F.array(*[F.lit(float(x)) for x in knn.vector]), knn.metric))
+        q = F.array(*[F.lit(float(x)) for x in knn.vector])
+        if isinstance(self._type(knn.field).elementType, T.ArrayType):  # several vectors in a record: the nearest counts
+            near = F.array_min(F.transform(F.filter(col, lambda v: vectors.is_valid(v, len(knn.vector))), lambda v: vectors.distance(v, q, knn.metric)))
+            df = df.withColumn("__distance", near).filter("__distance IS NOT NULL")
+        else:
+            df = df.filter(vectors.is_valid(col, len(knn.vector))).withColumn("__distance", vectors.distance(col, q, knn.metric))
         return df.orderBy(F.col("__distance").asc(), F.col(self.id_col).asc()).limit(knn.k), score + F.col("__distance") * knn.boost
 
     def order_columns(self, order) -> list[Column]:
@@ -278,3 +288,65 @@ class Compiler:
     def total_hits(self, where: Node | None) -> DataFrame:
         """The number of matching records, as one row."""
         return self.matches(where).agg(F.count("*").alias("total_hits"))
+
+
+class IndexedCompiler(Compiler):
+    """A compiler that asks indexes: postings for text fields, graphs for vector fields. Other fields are tested on the records.
+
+    texts: by field its postings, or None where nothing is indexed yet; graphs: by field a function
+    of (vector, k, allowed ids) that gives the ids found.
+    """
+
+    def __init__(self, df: DataFrame, analyzers: dict[str, Analyzer], texts: dict, graphs: dict):
+        super().__init__(df, "_id", analyzers)
+        self.texts, self.graphs = texts, graphs
+
+    def _must(self, n: Node | None, field: str) -> bool:
+        """Whether every match has a token of a query over the field."""
+        if isinstance(n, And):
+            return self._must(n.left, field) or self._must(n.right, field)
+        if isinstance(n, Or):
+            return self._must(n.left, field) and self._must(n.right, field)
+        return isinstance(n, (Text, Phrase)) and n.field == field
+
+    def _with_tokens(self, where: Node | None) -> tuple[DataFrame, DataFrame | None]:
+        nodes = self._text_nodes(where)
+        if not nodes or any(self.texts.get(n.field) is None for n in nodes):
+            return super()._with_tokens(where)
+        need: dict[str, dict[str, bool]] = {}
+        for node in nodes:
+            own = need.setdefault(node.field, {})
+            for t in (t for group in self._analysed(node) for t in group):
+                own[t] = own.get(t, False) or isinstance(node, Phrase)
+        self.slots = {(f, t): k for k, (f, t) in enumerate((f, t) for f, own in need.items() for t in own)}
+        self.fields = {f: k for k, f in enumerate(need)}
+        df, stats = self.df, None
+        for f, k in self.fields.items():
+            index = self.texts[f]
+            hits = index.posts.filter(F.col("token").isin(list(need[f])))
+            aggs = [F.max("dl").alias(f"__dl{k}")]
+            for t in need[f]:
+                own, j = F.col("token") == t, self.slots[f, t]
+                aggs.append(F.max(F.when(own, F.col("tf"))).alias(f"__tf{j}"))
+                if need[f][t]:
+                    aggs.append(F.max(F.when(own, F.col("positions"))).alias(f"__pos{j}"))
+            wide = hits.groupBy(F.col("_id").alias("__hit")).agg(*aggs)
+            df = df.join(wide, F.col("_id") == F.col("__hit"), "inner" if self._must(where, f) else "left").drop("__hit")
+            df = df.withColumns({f"__tf{self.slots[f, t]}": F.coalesce(f"__tf{self.slots[f, t]}", F.lit(0)) for t in need[f]} | {f"__dl{k}": F.coalesce(f"__dl{k}", F.lit(0))})
+            df = df.withColumns({f"__pos{self.slots[f, t]}": F.coalesce(f"__pos{self.slots[f, t]}", F.array().cast("array<int>")) for t, phrase in need[f].items() if phrase})
+            counts = hits.agg(F.lit(0), *[F.count(F.when(F.col("token") == t, 1)).alias(f"__df{self.slots[f, t]}") for t in need[f]]).drop("0")
+            own = counts.crossJoin(F.broadcast(index.stats.select(F.col("n").alias(f"__n{k}"), F.col("total").alias(f"__len{k}"))))  # one row each
+            stats = own if stats is None else stats.crossJoin(F.broadcast(own))
+        return df, stats
+
+    def _nearest(self, df: DataFrame, knn: Knn, score: Column) -> tuple[DataFrame, Column]:
+        found = None
+        if knn.metric == "euclidean" and knn.field in self.graphs:
+            found = self.graphs[knn.field](list(knn.vector), knn.k, df.select("_id") if self._filtered else None)
+        if found is not None:
+            df = df.join(found.distinct(), "_id", "left_semi")
+        return super()._nearest(df, knn, score)
+
+    def matches(self, where: Node | None) -> DataFrame:
+        self._filtered = self._split_knn(where)[0] is not None
+        return super().matches(where)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import changes, filters, rank, text, vector
+from . import changes, filters, rank, stored, text, vector
 from .base import ORACLE_SQL, QUERIES
 from .text import flagship
 
-__all__ = ["ORACLE_SQL", "QUERIES", "changes", "filters", "flagship", "rank", "text", "vector"]
+__all__ = ["ORACLE_SQL", "QUERIES", "changes", "filters", "flagship", "rank", "stored", "text", "vector"]

@@ -14,15 +14,17 @@ from ..scratch import shared_dir
 from ..types import FieldType
 from .base import query, read
 
-BASE = "base AS (SELECT c_custkey AS _id, c_name AS _name, c_acctbal AS bal FROM customer WHERE c_custkey % 3 <> 0)"
-BATCH = "batch AS (SELECT c_custkey AS _seq, c_name AS _name, c_acctbal + 100 AS bal FROM customer WHERE c_custkey % 2 = 0)"
+#: The base is every customer; the batch too, every other one under a name that the base does not have.
+BASE = "base AS (SELECT c_custkey AS _id, c_name AS _name, c_acctbal AS bal FROM customer)"
+BATCH = "batch AS (SELECT c_custkey AS _seq, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE concat(c_name, ' new') END AS _name, c_acctbal + 100 AS bal FROM customer)"
 TOP = "(SELECT max(_id) FROM base)"
 
 
 def _tables(spark, sf_dir, action):
     c = read(spark, sf_dir, "customer")
-    base = c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("_id"), F.col("c_name").alias("_name"), F.col("c_acctbal").alias("bal"))
-    batch = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("_seq"), F.lit(action).alias("_action"), F.col("c_name").alias("_name"), (F.col("c_acctbal") + 100).alias("bal"))
+    base = c.select(F.col("c_custkey").alias("_id"), F.col("c_name").alias("_name"), F.col("c_acctbal").alias("bal"))
+    name = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit(" new")))
+    batch = c.select(F.col("c_custkey").alias("_seq"), F.lit(action).alias("_action"), name.alias("_name"), (F.col("c_acctbal") + 100).alias("bal"))
     return base, batch
 
 
@@ -58,13 +60,13 @@ def mut_delete(spark, sf_dir):
 
 
 @query(f"""WITH {BASE}, {BATCH}
-  SELECT _seq, _name, CASE WHEN _seq % 4 = 0 THEN 'insert' ELSE 'delete' END AS _action,
-         CAST(CASE WHEN _seq % 4 = 0 AND _name IN (SELECT _name FROM base) THEN 2 WHEN _seq % 4 <> 0 AND _name NOT IN (SELECT _name FROM base) THEN 3 ELSE 0 END AS INTEGER) AS code
+  SELECT _seq, _name, CASE WHEN _seq % 4 < 2 THEN 'insert' ELSE 'delete' END AS _action,
+         CAST(CASE WHEN _seq % 4 < 2 AND _name IN (SELECT _name FROM base) THEN 2 WHEN _seq % 4 >= 2 AND _name NOT IN (SELECT _name FROM base) THEN 3 ELSE 0 END AS INTEGER) AS code
   FROM batch""")
 def mut_results(spark, sf_dir):
     """A result for each action of a mixed batch."""
     base, batch = _tables(spark, sf_dir, mutations.INSERT)
-    batch = batch.withColumn("_action", F.when(F.col("_seq") % 4 == 0, mutations.INSERT).otherwise(mutations.DELETE))
+    batch = batch.withColumn("_action", F.when(F.col("_seq") % 4 < 2, mutations.INSERT).otherwise(mutations.DELETE))
     return mutations.apply_batch(base, batch).results.select("_seq", "_name", "_action", "code")
 
 
@@ -107,7 +109,7 @@ def json_to_string(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", values.json_text(F.col("props"), "$.k").alias("k"), values.json_text(F.col("props"), "$.none").alias("missing"))
 
 
-@query()
+@query("SELECT event_id, user_id, event_type, value FROM events")
 def json_roundtrip(spark, sf_dir):
     """Events through JSON and back."""
     df = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")

@@ -61,6 +61,14 @@ def filter_array_contains(spark, sf_dir):
     return c.matches(Term("words", word)).select(*PART.split(", "))
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice = (SELECT o_totalprice FROM orders WHERE o_orderkey = 7)")
+def filter_eq_float_found(spark, sf_dir):
+    """Equality of floats with a value that is there."""
+    c = collection(spark, sf_dir, "orders")
+    price = c.df.filter("o_orderkey = 7").first()["o_totalprice"]
+    return c.matches(Term("o_totalprice", price)).select("o_orderkey", "o_totalprice")
+
+
 @query(f"SELECT {PART} FROM part WHERE p_size >= 10 AND p_size < 20")
 def filter_between_half_open(spark, sf_dir):
     """A range with its lower bound in and its upper bound out."""
@@ -121,7 +129,7 @@ def search_api(spark, sf_dir):
     return collection(spark, sf_dir, "orders").search(Search(where, fields, order, 10, 20)).drop("_score")
 
 
-@query()
+@query("SELECT c_custkey, CAST(to_json({c_custkey: c_custkey, c_name: c_name, c_acctbal: c_acctbal, _score: 1.0::DOUBLE}) AS VARCHAR) AS json FROM customer WHERE c_acctbal > 5000")
 def result_json(spark, sf_dir):
     """Hits as JSON objects."""
     hits = collection(spark, sf_dir, "customer").matches(parser.parse_where("c_acctbal > 5000"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import graph_index, vector_index
 from ..plans.compiler import Compiler
 from ..plans.parser import parse
+from ..scratch import shared_dir
 from .base import query, read
 
 Q = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
@@ -116,13 +119,8 @@ def vector_search_boost(spark, sf_dir):
     FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) WHERE rank <= 5""")
 def knn_graph(spark, sf_dir):
     """The five nearest others of every vector, by exact distances rounded to six digits."""
-    from pyspark.sql.window import Window
-
-    df = _embeddings(spark, sf_dir)
-    a, b = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")), df.select("vec_id", F.col("embedding").alias("b"))
-    pairs = a.crossJoin(b).filter("query_id <> vec_id").select("query_id", "vec_id", F.round(vectors.distance(F.col("a"), F.col("b")), 6).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", "vec_id", "rank", "distance")
+    near = vector_index.knn_graph(_embeddings(spark, sf_dir), 5, "vec_id", "embedding", digits=6)
+    return near.select("query_id", F.col("_id").alias("vec_id"), "rank", "distance")
 
 
 @query(f"SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest({V}) AS x, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos FROM embeddings) GROUP BY label, pos")
@@ -132,15 +130,32 @@ def centroid_by_label(spark, sf_dir):
 
 
 def _named(spark, sf_dir):
-    """The vectors, and every one of them as a query."""
+    """All vectors, and as queries those whose id is divisible by 50."""
     df = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vector"), "label")
-    return df, df.select(F.col("_id").alias("query_id"), "vector")
+    return df, df.filter("_id % 50 = 0").select(F.col("_id").alias("query_id"), "vector")
 
 
-@query()
+PAIRS = METRIC_SQL["euclidean"].replace(V, "CAST(a.embedding AS DOUBLE[])").replace(", q)", ", CAST(b.embedding AS DOUBLE[]))")
+
+
+def _flat_sql(where: str = "true") -> str:
+    return f"""SELECT query_id, _id, CAST(rank AS INTEGER) AS rank, distance FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, _id) AS rank FROM (
+        SELECT a.vec_id AS query_id, b.vec_id AS _id, round({PAIRS}, 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND {where})) WHERE rank <= 10"""
+
+
+@query(_flat_sql())
 def flat_search(spark, sf_dir):
+    """The ten nearest of all vectors, exactly, by distances rounded to six digits."""
     df, queries = _named(spark, sf_dir)
-    return vector_index.FlatIndex(df, "_id", "vector").search(queries, 10)
+    return vector_index.FlatIndex(df, "_id", "vector").search(queries, 10, digits=6)
+
+
+@query(_flat_sql("b.label IN (1, 3)"))
+def flat_search_filtered(spark, sf_dir):
+    """The same among the vectors of two labels, filtered before they are ranked."""
+    df, queries = _named(spark, sf_dir)
+    return vector_index.FlatIndex(df, "_id", "vector").search(queries, 10, where="label IN (1, 3)", digits=6)
 
 
 @query()
@@ -175,10 +190,29 @@ def hnsw_search(spark, sf_dir):
 
 @query()
 def hnsw_search_filtered(spark, sf_dir):
+    """Filtered inside the walk: points of other labels lead on, but are not found."""
     df, queries = _named(spark, sf_dir)
     return graph_index.GraphIndex.build(df, kind="hnsw").search(queries, 10, allowed=df.filter("label IN (1, 3)"))
 
 
+@query()
+def hnsw_search_deleted(spark, sf_dir):
+    """A graph that was saved and opened again, without the vectors of one label, which are deleted after it was built."""
+    df, queries = _named(spark, sf_dir)
+    path = f"{shared_dir(spark)}/searchlake-hnsw-{uuid.uuid4().hex[:12]}"
+    graph_index.GraphIndex.build(df, kind="hnsw").save(path)
+    return graph_index.GraphIndex.load(spark, path).search(queries, 10, deleted=df.filter("label = 2"))
+
+
+@query()
+def ivfpq_search_filtered(spark, sf_dir):
+    """Codes that were saved and opened again, among the vectors of five labels."""
+    df, queries = _named(spark, sf_dir)
+    path = f"{shared_dir(spark)}/searchlake-ivfpq-{uuid.uuid4().hex[:12]}"
+    vector_index.IvfIndex.build(df, cells=8, subspaces=4, bits=4, copies=3).save(path)
+    return vector_index.IvfIndex.load(spark, path).search(queries, 10, probes=4, allowed=df.filter("label < 5"))
+
+
 @query()
 def ssg_search(spark, sf_dir):
     df, queries = _named(spark, sf_dir)
@@ -187,7 +221,7 @@ def ssg_search(spark, sf_dir):
 
 @query()
 def hnsw_recall(spark, sf_dir):
-    """The share of the true ten nearest that the graph finds, over all vectors as queries."""
+    """The share of the true ten nearest that the graph finds."""
     df, queries = _named(spark, sf_dir)
     truth = vector_index.FlatIndex(df, "_id", "vector").search(queries, 10).select("query_id", "_id")
     found = graph_index.GraphIndex.build(df, kind="hnsw").search(queries, 10).select("query_id", "_id", F.lit(1.0).alias("hit"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -28,5 +29,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read from there."""
     path = f"{shared_dir(df.sparkSession)}/searchlake-{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
+    _written.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+#: What written() made; it stays while the driver lives, since returned DataFrames read it.
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _written:
+        sc = spark.sparkContext
+        if sc._jsc is not None:
+            try:
+                p = sc._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            except Exception:  # the JVM is gone; nothing is left to tell
+                return

@@ -15,8 +15,8 @@ def field_column(f: Field, data: str = "_data"):
     """A field of the JSON in a column, coerced to its type; what cannot be coerced is null."""
     raw = F.get_json_object(F.col(data), f"$['{f.name}']")
     if f.type is FieldType.VECTOR:
-        parsed = F.from_json(raw, "array<float>")
-        return F.when(is_valid(parsed, f.vector.dimension), parsed)
+        parsed = _vectors(f, raw)
+        return F.when(_all_valid(f, parsed), parsed)
     if f.array:
         listed = F.when(F.ltrim(raw).startswith("["), F.from_json(raw, "array<string>")).otherwise(F.when(raw.isNotNull(), F.array(raw)))
         return coerce(listed, T.ArrayType(T.StringType()), f.type)
@@ -28,6 +28,29 @@ def field_column(f: Field, data: str = "_data"):
     return coerce(raw, T.StringType(), f.type)
 
 
+def _vectors(f: Field, raw):
+    """The JSON of a vector field: a vector, or for an array field several, of which one may stand alone."""
+    if not f.array:
+        return F.from_json(raw, "array<float>")
+    return F.coalesce(F.from_json(raw, "array<array<float>>"), F.array(F.from_json(raw, "array<float>")))
+
+
+def _all_valid(f: Field, parsed):
+    if not f.array:
+        return is_valid(parsed, f.vector.dimension)
+    return F.coalesce((F.size(parsed) > 0) & F.forall(parsed, lambda v: is_valid(v, f.vector.dimension)), F.lit(False))
+
+
+def invalid_vectors(schema: Schema, data: str = "_data"):
+    """Whether a record has a vector of another dimension than its field's, or one that is not finite."""
+    out = F.lit(False)
+    for f in schema.fields.values():
+        if f.type is FieldType.VECTOR:
+            raw = F.get_json_object(F.col(data), f"$['{f.name}']")
+            out = out | (raw.isNotNull() & ~_all_valid(f, _vectors(f, raw)))
+    return out
+
+
 def shred(df: DataFrame, schema: Schema, data: str = "_data") -> DataFrame:
     """df with the schema's columns read from its JSON column."""
     return df.select("*", *[field_column(f, data).alias(f.name) for f in schema.fields.values()])

@@ -12,15 +12,15 @@ from ..collection import Collection
 def ingest(stream: DataFrame, collection: Collection, checkpoint: str, name: str = "ingest", **trigger) -> StreamingQuery:
     """Apply a stream (_seq, _action, _name, _data) as it comes.
 
-    The number of the last batch is the collection's marker, written with the batch's manifest:
-    a batch that is replayed after a failure is seen to be done, and is skipped.
+    The number of the last batch is the collection's marker of this stream's name, written with the
+    batch's manifest: a batch that is replayed after a failure is seen to be done, and is skipped,
+    whatever other streams or callers did in between. Streams into one collection need names of their own.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        kind, _, last = (collection.marker() or "").rpartition(":")
-        if kind == name and number <= int(last):
-            return
-        collection.mutate(batch, f"{name}:{number}")
+        last = collection.marker(name)
+        if last is None or number > int(last):
+            collection.mutate(batch, str(number), name)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).queryName(name).trigger(**(trigger or {"availableNow": True})).start()
 

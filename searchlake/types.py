@@ -64,7 +64,7 @@ class Field:
     @property
     def spark_type(self) -> T.DataType:
         own = SPARK_TYPES[self.type]
-        return T.ArrayType(own) if self.array and self.type is not FieldType.VECTOR else own
+        return T.ArrayType(own) if self.array else own
 
 
 @dataclass(frozen=True)
