@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow, texts, words
 
 WINDOW, SHARD_WINDOWS = 2048, 8192
+#: Rows of one doc_id and length beyond which they are spread over several shards.
+HOT_ROWS = 10_000
 
 
 class Packer:
@@ -66,16 +68,30 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFram
     return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), count, "doc_id bigint, n_tokens bigint")
 
 
-def pack(docs: DataFrame, window: int = WINDOW, shard_windows: int = SHARD_WINDOWS, tokenizer_path: str | None = None) -> DataFrame:
+def _sharded(counts: DataFrame, shards: int, hot_rows: int) -> DataFrame:
+    """counts (doc_id, n_tokens, row) with its shard: by hash of id and length, and of the row where these are the same for more than hot_rows rows."""
+    key = [F.col("doc_id"), F.col("n_tokens")]
+    hot = counts.groupBy("doc_id", "n_tokens").count().filter(F.col("count") > hot_rows)
+    if not hot.head(1):
+        return counts.withColumn("shard", F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int"))
+    hot = hot.select(F.col("doc_id").alias("d"), F.col("n_tokens").alias("n"), F.ceil(F.col("count") / hot_rows).alias("spread"))
+    both = counts.join(hot, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("n_tokens") == F.col("n")), "left")
+    salt = F.when(F.col("spread").isNotNull(), F.pmod(F.xxhash64("row"), "spread")).otherwise(0)
+    return both.withColumn("shard", F.pmod(F.xxhash64(*key, salt), F.lit(shards)).cast("int")).select("doc_id", "n_tokens", "shard")
+
+
+def pack(docs: DataFrame, window: int = WINDOW, shard_windows: int = SHARD_WINDOWS, tokenizer_path: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(shard, window, offset, doc_id, piece, start, n_tokens): where each document's tokens go.
 
     Documents are spread by hash over shards of about shard_windows windows, a number that
     follows the corpus; each shard is packed online in the order of (doc_id, n_tokens), null ids
     last. A document longer than a window fills whole windows first and its rest is placed like
-    any other. Null, empty and wordless texts take no place. Repeated rows are placed each.
+    any other. Null, empty and wordless texts take no place. Repeated rows are placed each; where
+    one id (or none) and one length have more than hot_rows rows, these are spread over shards by
+    row. An empty table gives no rows; other columns, of whatever name, are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "pack")
-    counts = scratch.save(token_counts(docs, tokenizer_path).filter("n_tokens > 0"))
+    counts = scratch.save(token_counts(docs, tokenizer_path).filter("n_tokens > 0").withColumn("row", F.monotonically_increasing_id()))
     total = counts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     shards = max(1, -(-total // (window * shard_windows)))
     schema = "shard int, window bigint, offset int, doc_id bigint, piece int, start bigint, n_tokens int"
@@ -95,5 +111,4 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_windows: int = SHARD_WINDO
         return pa.Table.from_arrays([pa.array([table["shard"][0].as_py()] * len(out), pa.int32()), *cols], ["shard", "window", "offset", "doc_id", "piece", "start", "n_tokens"])
 
     # one shard to a task: the shards are the parallelism, and each is of bounded size
-    sharded = counts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int"))
-    return sharded.groupBy("shard").applyInArrow(one, schema)
+    return _sharded(counts, shards, hot_rows).drop("row").groupBy("shard").applyInArrow(one, schema)
