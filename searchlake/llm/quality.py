@@ -187,10 +187,10 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _sparse(data, offs, stats, h, row_offs, bins):
-    """Per row: bins (int32 bytes) and values (float32 bytes), weighted as score() weighs them."""
+def _sparse(data, offs, stats, h, row_offs, bins, chosen):
+    """Per chosen row: bins (int32 bytes) and values (float32 bytes), weighted as score() weighs them."""
     three, word, step = features(data, offs, stats, h, row_offs, bins)
-    for k in range(len(offs) - 1):
+    for k in chosen:
         a, b = offs[k], max(offs[k], offs[k + 1] - 2)
         c1, n1 = np.unique(three[a:b], return_counts=True)
         c2, n2 = np.unique(word[row_offs[k] : row_offs[k + 1]], return_counts=True)
@@ -200,48 +200,45 @@ def _sparse(data, offs, stats, h, row_offs, bins):
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, bins: int = BINS) -> tuple[LabelModel, Scorer]:
-    """Fit the label model on the vote patterns of all documents, and the scorer on at most sample_rows of them, those of least hash."""
-
-    def patterns(batch):
-        got = np.zeros(3 ** len(LABELLERS), np.int64)
-        for _, _, data, offs in texts(batch.column(0)):
-            stats, _, _, present = statistics(data, offs)
-            got += np.bincount(votes(stats, present)[present], minlength=len(got))
-        at = np.flatnonzero(got)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(got[at])], ["pattern", "n"])
-
-    seen = map_arrow(docs.select("text"), patterns, "pattern int, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
-    pattern, n = np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], np.int64)
-    model = LabelModel().fit(pattern, n)
-
+    """Fit the label model on the vote patterns of all documents, and the scorer on at most sample_rows of them, those of least hash; one pass over the texts."""
     # twice the share, so that the rows of least hash are there; their number is bounded whatever repeats
-    share = min(1.0, 2 * sample_rows / max(1, n.sum()))
+    share = int(min(1.0, 2 * sample_rows / max(1, docs.count())) * (1 << 20)) + 1
 
-    def sample(batch):
-        out, key = [], batch.column(1).to_pylist()
+    def run(batch):
+        seen, rows, key = np.zeros(3 ** len(LABELLERS), np.int64), [], batch.column(1).to_pylist()
         for lo, _, data, offs in texts(batch.column(0)):
             stats, h, row_offs, present = statistics(data, offs)
             v = votes(stats, present)
-            out += [(key[lo + k], int(v[k]), c, x) for k, (c, x) in enumerate(_sparse(data, offs, stats, h, row_offs, bins)) if present[k]]
-        if out:
-            at, v, c, x = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(v, pa.int32()), pa.array(c, pa.binary()), pa.array(x, pa.binary())], ["h", "pattern", "cols", "vals"])
-
-    key = F.xxhash64("text", F.col("doc_id") if "doc_id" in docs.columns else F.lit(0))
-    chosen = docs.select(key.alias("h"), "text").filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    chosen = chosen.withColumn("h", F.pmod("h", F.lit(1 << 20))).select("text", "h")
-    taken = map_arrow(chosen, sample, "h bigint, pattern int, cols binary, vals binary").orderBy("h", "pattern", "cols", "vals").limit(sample_rows)
-    rows = sorted(map(tuple, taken.select("pattern", "cols", "vals").collect()))
+            seen += np.bincount(v[present], minlength=len(seen))
+            chosen = [k for k in range(len(v)) if present[k] and key[lo + k] < share]
+            rows += [(key[lo + k], int(v[k]), 1, c, x) for k, (c, x) in zip(chosen, _sparse(data, offs, stats, h, row_offs, bins, chosen))]
+        rows += [(None, int(p), int(seen[p]), None, None) for p in np.flatnonzero(seen)]
+        if rows:
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "pattern", "n", "cols", "vals"])
+
+    key = F.pmod(F.xxhash64("text", F.col("doc_id") if "doc_id" in docs.columns else F.lit(0)), F.lit(1 << 20))
+    scratch = Scratch(docs.sparkSession, "quality")
+    got = scratch.save(map_arrow(docs.select("text", key.alias("h")), run, "h bigint, pattern int, n bigint, cols binary, vals binary"))
+    counted = got.filter("h IS NULL").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    model = LabelModel().fit(np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.int64))
+    taken = got.filter("h IS NOT NULL").orderBy("h", "pattern", "cols", "vals").limit(sample_rows).select("pattern", "cols", "vals").toArrow()
+    # the summands of a sum follow this order, so that it does not hang on the plan
+    rows = sorted(zip(*(taken[c].to_pylist() for c in ("pattern", "cols", "vals"))))
     y = model.posterior(np.array([r[0] for r in rows], np.int64)) if rows else np.zeros(0)
-    return model, Scorer(bins).fit([(r[1], r[2]) for r in rows], y)
+    fitted = Scorer(bins).fit([(r[1], r[2]) for r in rows], y)
+    scratch.clear()
+    return model, fitted
 
 
 def score(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, bins: int = BINS, threshold: float = THRESHOLD, keep_only: bool = True) -> DataFrame:
     """docs with a column quality (double, six digits); with keep_only, those of at least threshold.
 
     The label model counts all documents; the scorer is fitted on at most sample_rows of them,
-    chosen by the hash of text and id. Null, empty and wordless texts score 0. Equal texts
-    score alike. All other columns pass through; an existing quality column is replaced.
+    chosen by the hash of text and id. Null, empty and wordless texts score 0. Equal texts, and so
+    repeated rows, score alike; a score equal to the threshold is kept. Texts of any length are read
+    whole. All other columns pass through, of whatever name or type; an existing quality column is
+    replaced; an empty table gives no rows.
     """
     docs = docs.drop("quality")
     names, body = docs.columns, docs.columns.index("text")
