@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, texts, words
 
-MIN_LENGTH, WINDOW = 20, 20
+#: PART: windows of a long span that are counted one after the other.
+MIN_LENGTH, WINDOW, PART = 20, 20, 1024
 #: Bits per character that some window must reach, by class of characters.
 LIMITS = {"hex": 2.8, "base64": 3.9}
 #: The same for pieces of a run that is not reported whole; random keys of 20 characters reach them.
@@ -35,31 +36,43 @@ _MIXED = re.compile(rb"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+")
 _NUMBERED = re.compile(rb"[A-Za-z]+[0-9]+|[0-9]+[A-Za-z]+")
 
 
+def kind_of(x: bytes, min_length: int, allowed: re.Pattern | None) -> str | None:
+    """The class by which a piece of a run is judged, None where it is no candidate."""
+    if len(x) < min_length or (allowed and allowed.fullmatch(x)):
+        return None
+    if _HEX.fullmatch(x):
+        return "hex"
+    if _NUMBERED.fullmatch(x):
+        return None
+    return "alnum" if _ONE_CASE.fullmatch(x) else "base64" if _MIXED.fullmatch(x) else None
+
+
 def pieces(run: bytes, min_length: int, allowed: re.Pattern | None) -> list[list[tuple[int, int, str]]]:
-    """(start, end, kind) of what may be keys between the = of a run, and there between any +/_-; the first of each list that is a key counts for those after it."""
+    """(start, end, kind) of what may be keys: for each value between the = of a run first the whole, where that may be one, then what is there between any +/_-."""
     out = []
     for value in re.finditer(rb"[^=]+", run):
-        tries = [value.span()]
-        tries += [(value.start() + m.start(), value.start() + m.end()) for m in re.finditer(rb"[A-Za-z0-9]+", value[0]) if m.span() != (0, len(value[0]))]
-        found = []
-        for a, b in tries:
-            x = run[a:b]
-            if b - a < min_length or (allowed and allowed.fullmatch(x)):
-                continue
-            if _HEX.fullmatch(x):
-                found.append((a, b, "hex"))
-            elif _NUMBERED.fullmatch(x):
-                continue
-            elif _ONE_CASE.fullmatch(x):
-                found.append((a, b, "alnum"))
-            elif _MIXED.fullmatch(x):
-                found.append((a, b, "base64"))
-        out.append(found)
+        spans = [value.span(), *((value.start() + m.start(), value.start() + m.end()) for m in re.finditer(rb"[A-Za-z0-9]+", value[0]) if m.span() != (0, len(value[0])))]
+        out.append([(a, b, kind) for a, b in spans if (kind := kind_of(run[a:b], min_length, allowed))])
     return out
 
 
 def best_entropy(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The highest Shannon entropy of any window of each span, from counts that change by one character at each step."""
+    """The highest Shannon entropy of any window of each span, from counts that change by one character at each step.
+
+    Long spans are cut into parts that overlap by all but one character of a window, so that all
+    windows are there and the number of steps is bounded.
+    """
+    count = np.maximum(1, -(-(ends - starts - window + 1) // PART))
+    owner = np.repeat(np.arange(len(starts)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    a = starts[owner] + nth * PART
+    best = _best_entropy(data, a, np.minimum(ends[owner], a + PART + window - 1), window)
+    out = np.full(len(starts), -1.0)
+    np.maximum.at(out, owner, best)
+    return out
+
+
+def _best_entropy(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
     order = np.argsort(starts - ends, kind="stable")  # longest first, so that those still running are a prefix
     s, n = starts[order], (ends - starts)[order]
     size = np.minimum(n, window)
@@ -97,8 +110,9 @@ def find_secrets(docs: DataFrame, min_length: int = MIN_LENGTH, limits: dict = L
     pattern of allow matches the whole of it. Of other runs, the values between = are judged by
     themselves, and what stands between +/_- in them: as hex, alnum (one case) or base64 (both
     cases and digits), with the limits of piece_limits; allow, and words with a number before or
-    behind, are left out there too. start counts characters from 0. Null and empty texts give
-    nothing; repeated rows give their runs once for each row.
+    behind, are left out there too. start counts characters from 0. Null and empty texts and empty
+    tables give nothing; repeated rows give their runs once for each row; a run of any length is
+    scanned whole; entropies at a limit count. Other columns, of whatever name, are not looked at.
     """
     allowed = re.compile("|".join(f"(?:{x})" for x in allow).encode()) if allow else None
 
@@ -117,15 +131,15 @@ def find_secrets(docs: DataFrame, min_length: int = MIN_LENGTH, limits: dict = L
             kind = np.array(["hex" if _HEX.fullmatch(raw, a, b) else "base64" for a, b in zip(s.tolist(), e.tolist())])
             bits = np.round(best_entropy(data, s, e, window), 4)
             good = bits >= np.array([limits[x] for x in kind])
-            more = []
-            for k in np.flatnonzero(~good).tolist():
-                for tries in pieces(raw[s[k] : e[k]], min_length, allowed):
-                    done = []
-                    for x, y, name in tries:
-                        h = round(float(best_entropy(data, s[k : k + 1] + x, s[k : k + 1] + y, window)[0]), 4)
-                        if h >= piece_limits[name] and not any(p <= x and y <= q for p, q in done):
-                            done.append((x, y))
-                            more.append((s[k] + x, s[k] + y, row[k], name, h))
+            tries = [(k, n, s[k] + x, s[k] + y, name) for k in np.flatnonzero(~good).tolist() for n, own in enumerate(pieces(raw[s[k] : e[k]], min_length, allowed)) for x, y, name in own]
+            more, whole = [], None
+            if tries:
+                found = np.round(best_entropy(data, np.array([t[2] for t in tries]), np.array([t[3] for t in tries]), window), 4).tolist()
+                for (k, n, x, y, name), h in zip(tries, found):
+                    if h >= piece_limits[name] and not (whole and whole[:2] == (k, n) and x >= whole[2] and y <= whole[3]):
+                        more.append((x, y, row[k], name, h))
+                        if whole is None or whole[:2] != (k, n):
+                            whole = k, n, x, y
             s, e, row, kind, bits = s[good], e[good], row[good], kind[good], bits[good]
             if more:
                 s, e, row, kind, bits = (np.concatenate([a, np.array(b)]) for a, b in zip((s, e, row, kind, bits), zip(*more)))
