@@ -7,7 +7,9 @@ import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from searchlake.llm import decontaminate, htmltext, kdshard, linededup, neardup, packing, quality, secrets, toxicity, vafile
@@ -51,6 +53,46 @@ def test_hamming_join_gives_every_pair(spark):
     assert groups_of((r.a, r.b) for r in forest.collect()) == groups_of(got)
 
 
+def test_hot_key_is_compared_in_parts(spark):
+    rng, n = np.random.default_rng(13), 50_000
+    base = rng.integers(0, 256, neardup.SYMBOLS, dtype=np.uint8)
+    sig = np.tile(base, (n, 1))
+    for row in sig:  # near copies, any two within the distance
+        at = rng.choice(np.arange(6, neardup.SYMBOLS), 11, replace=False)
+        row[at] += rng.integers(1, 256, 11, dtype=np.uint8)
+    sig[1::500, 6:] = rng.integers(0, 256, (len(sig[1::500]), neardup.SYMBOLS - 6), dtype=np.uint8)  # alike in the first chunk only
+    sig[501] = sig[1]
+    sig[501, 70] += 1
+    df = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sig)], "id bigint, sig binary")
+    # one chunk only: every signature has the same keys
+    keyed = df.select("id", "sig")
+    parts = list(neardup._members([pa.RecordBatch.from_arrays([pa.array(np.zeros(5000, np.int64)), pa.array(np.arange(lo, lo + 5000))], ["key", "id"]) for lo in range(0, n, 5000)], 4096))
+    assert sum(len(m) for b in parts for m in b.column(3).to_pylist()) == n and max(len(m) for b in parts for m in b.column(3).to_pylist()) <= 4096
+    rows = spark.createDataFrame([(7, int(p), True, m) for b in parts for p, m in zip(b.column(1).to_pylist(), b.column(3).to_pylist())], "key bigint, part int, big boolean, members array<bigint>")
+    got = []
+
+    def verify(batch):
+        for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = {x["id"]: x["sig"] for x in [*one, *two]}
+            pairs = neardup.linked(np.array(list(own)), np.frombuffer(b"".join(own.values()), np.uint8).reshape(len(own), -1), neardup.MAX_DISTANCE, False)
+            if pairs:
+                a, b = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    got = groups_of((r.a, r.b) for r in neardup._hot(rows, keyed, Scratch(spark, "test"), neardup.MAX_DISTANCE, False, verify).collect())
+    far = set(range(1, n, 500))
+    assert got == {k: 0 for k in range(1, n) if k not in far} | {501: 1}
+
+
+def test_small_hot_bound_changes_nothing(spark):
+    docs = read(spark, SMALL, "documents")
+    sigs = neardup.signatures(docs).groupBy("sig").agg(F.min("doc_id").alias("id"))
+    want = {(r.a, r.b) for r in neardup.hamming_join(sigs, Scratch(spark, "test"), every=True).collect()}
+    assert want == {(r.a, r.b) for r in neardup.hamming_join(sigs, Scratch(spark, "test"), every=True, hot_rows=2).collect()}
+    forest = neardup.hamming_join(sigs, Scratch(spark, "test"), hot_rows=2)
+    assert groups_of((r.a, r.b) for r in forest.collect()) == groups_of(want)
+
+
 def test_near_groups(spark):
     docs = read(spark, MIDDLE, "documents")
     sigs = [(r.doc_id, r.sig) for r in neardup.signatures(docs).collect()]
@@ -260,29 +302,58 @@ def test_bloom_filter_forgets_nothing():
     assert f.seen(h[:20_000]).all() and f.seen(h[20_000:]).mean() < 0.05
 
 
+def nearest_slowly(rows, k, asked):
+    """{(query, its vector): ids} by sorting all distances."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    scale = np.abs(x).max()
+    out = defaultdict(list)
+    for row in range(len(x)):
+        if asked(ids[row]):
+            d = np.sqrt((((x - x[row]) / scale) ** 2).sum(axis=1))
+            d[ids == ids[row]] = np.inf
+            order = np.lexsort((ids, np.round(d, 8)))[:k]
+            out[int(ids[row])] += ids[order[np.isfinite(d[order])]].tolist()
+    return out
+
+
+def found_by(df, **parameters):
+    out = defaultdict(list)
+    for r in sorted(vafile.nearest(df, **parameters).collect(), key=lambda r: (r.query_id, r.rank)):
+        out[r.query_id].append(r.vec_id)
+    return out
+
+
 def test_topk_over_several_blocks(spark):
-    v = read(spark, SMALL, "embeddings")
-    x = np.array([r.embedding for r in v.orderBy("vec_id").collect()], float)
-    ids = np.array([r.vec_id for r in v.orderBy("vec_id").collect()])
-    got = defaultdict(dict)
-    for r in vafile.nearest(v, k=5, block_rows=64).collect():
-        got[r.query_id][r.rank] = r.vec_id
-    for k in range(len(x)):
-        d = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
-        d[k] = np.inf
-        assert [got[ids[k]][r] for r in range(1, 6)] == ids[np.lexsort((ids, np.round(d, 9)))[:5]].tolist()
-
-
-def test_topk_with_many_rows_of_one_id():
+    v = read(spark, MIDDLE, "embeddings")
+    rows = [(r.vec_id, r.embedding) for r in v.collect()]
+    counts: dict = {}
+    got = found_by(v, k=5, block_rows=64, queries=F.col("vec_id") % 50 == 0, counts=counts)
+    assert got == nearest_slowly(rows, 5, lambda i: i % 50 == 0)
+    # exact vectors are read for few of all pairs
+    assert counts["queries"] == 10 and counts["vectors"] == 500
+    assert 5 * 10 <= counts["exact"] < 0.1 * counts["queries"] * counts["vectors"] and counts["exact"] <= counts["candidates"]
+
+
+@pytest.mark.parametrize("scale", [1e20, 1e-30])
+def test_topk_of_large_and_small_numbers_and_copies(spark, scale):
     rng = np.random.default_rng(8)
-    ids, k = np.r_[np.zeros(12, np.int64), np.arange(1, 60)], 5
-    x = np.r_[np.repeat(rng.normal(size=(1, 8)), 12, axis=0), rng.normal(size=(59, 8))]
-    near = vafile.Nearest(ids, x, k)
-    near.search(vafile.VaBlock(ids, x, x.min(axis=0), x.max(axis=0)))
-    for row in range(len(ids)):
-        d = np.sqrt(((x - x[row]) ** 2).sum(axis=1))
-        d[ids == ids[row]] = np.inf
-        assert near.who[near.own == row].tolist() == ids[np.lexsort((ids, np.round(d, 9)))[:k]].tolist()
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, (x[i] * np.float32(scale)).tolist()) for i in range(60)]
+    rows += [(0, rows[0][1])] * 12 + [(100 + i, rows[3][1]) for i in range(30)]  # many rows of one id, many ids of one vector
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got, want = found_by(df, k=5, block_rows=16), nearest_slowly(rows, 5, lambda i: True)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(15)
+    x = np.r_[rng.normal(size=(200, 16)), rng.normal(size=(1, 16)).repeat(5, axis=0)]
+    codes = vafile.Codes(x.min(axis=0), x.max(axis=0))
+    y = codes.scaled(x)
+    c = codes.encode(y)
+    lower, upper = codes.bounds(y, c, codes.radius(y, c))
+    true = np.sqrt(((y[:, None] - y) ** 2).sum(axis=2))
+    assert (lower <= true).all() and (true <= upper).all() and (upper - lower).max() < 0.2
 
 
 def test_label_model_finds_the_accuracies():

@@ -38,6 +38,7 @@ def test_clashing_columns(clashing, bench):
         got = decontaminate.clean(clashing, bench.withColumn("hits", F.lit(1)), drop_share=1.0, max_grams=bound)
         assert got.columns == clashing.columns and rest(got) == want
     assert quality.score(clashing, keep_only=False).columns == [*clashing.columns, "quality"]
+    assert neardup.keep_one(clashing).columns == clashing.columns
 
 
 def test_line_dedup(odd, none):
@@ -64,7 +65,13 @@ def test_near_groups(odd, none):
     assert neardup.near_groups(none).collect() == []
     kept = neardup.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 1, 2, 3, 4, 5, 7, 8]
+    # of the row without id and the two rows of id 1, which are alike, one stays
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
+    assert neardup.keep_one(none).collect() == []
+    own = neardup.keep_one(odd.filter("doc_id > 4"))
+    assert sorted(r.doc_id for r in own.collect()) == [5, 7, 8]
+    null = neardup.keep_one(odd.filter("doc_id IS NULL").union(odd.filter("doc_id IS NULL")))
+    assert sorted(r.text is None for r in null.collect()) == [False, True, True]
 
 
 def test_decontaminate(odd, none, bench):
