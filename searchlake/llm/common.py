@@ -151,18 +151,52 @@ _WORD = np.zeros(256, bool)
 _WORD[128:] = True
 _WORD[[*range(48, 58), *range(97, 123), *range(65, 91)]] = True
 
-#: A word: a maximal run of ASCII letters or digits and of any character beyond ASCII. The same in Spark and DuckDB.
-WORD_REGEX = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+#: Beyond ASCII: characters that part words (punctuation, symbols, blanks), and those of scripts without blanks, each a word of its own.
+PARTING = [(0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x2BFF), (0x2E00, 0x2E7F), (0x3000, 0x303F), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65), (0xFFF0, 0xFFFF), (0x1F000, 0x1FAFF)]
+ALONE = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+_KIND = np.zeros(0x40000, np.uint8)
+for _ranges, _number in ((PARTING, 1), (ALONE, 2)):
+    for _a, _b in _ranges:
+        _KIND[_a : _b + 1] = _number
+
+
+def _class(ranges) -> str:
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def _between(ranges) -> list[tuple[int, int]]:
+    """What ranges leave out, from 0x80 on; surrogates are no characters."""
+    out, at = [], 0x80
+    for a, b in [*sorted([*ranges, (0xD800, 0xDFFF)]), (0x110000, 0)]:
+        if at < a:
+            out.append((at, a - 1))
+        at = b + 1
+    return out
+
+
+#: A word: a maximal run of ASCII letters or digits and of characters beyond ASCII that are neither PARTING nor ALONE, or one of ALONE. The same in Spark and DuckDB.
+WORD_REGEX = _class(ALONE) + "|[0-9A-Za-z" + _class(_between([*PARTING, *ALONE]))[1:] + "+"
 
 
 def words(data: np.ndarray, offs: np.ndarray, member: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, row offsets into them) of the words in a run of texts; no word crosses texts."""
+    """(starts, ends, row offsets into them) of the words in a run of texts; no word crosses texts. With another member, of the runs of those bytes."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     inside = member[data]
-    edge = np.empty(len(data) + 1, bool)
+    edge = np.zeros(len(data) + 1, bool)
+    if member is _WORD and len(lead := np.flatnonzero(data >= 0xC2)):
+        first = data[lead].astype(np.int32)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        code = np.where(size == 2, first & 31, np.where(size == 3, first & 15, first & 7))
+        for j in (1, 2, 3):
+            code = np.where(size > j, (code << 6) | (data[np.minimum(lead + j, len(data) - 1)] & 63), code)
+        kind = np.where(code < len(_KIND), _KIND[np.minimum(code, len(_KIND) - 1)], 0)
+        for j in range(4):
+            inside[lead[(kind == 1) & (size > j)] + j] = False
+        own = kind == 2
+        edge[lead[own]] = edge[lead[own] + size[own]] = True
     edge[0] = edge[-1] = True
-    np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
+    edge[1:-1] |= inside[1:] != inside[:-1]
     edge[offs] = True
     at = np.flatnonzero(edge)
     keep = inside[at[:-1]]

@@ -171,7 +171,8 @@ def _usable(benchmark: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MIN_WORDS, max_grams: int = MAX_BROADCAST_GRAMS) -> DataFrame:
     """(doc_id, item_id, n_windows, first_word, last_word): documents that share a run of n words with a benchmark item.
 
-    Words are runs of letters and digits in lower case. An item shorter than n words counts by
+    Words are runs of letters and digits in lower case, and single characters of scripts without
+    blanks. An item shorter than n words counts by
     its whole text if it has min_words, else not at all. Rows with a null doc_id, item_id or text
     give nothing, nor do empty texts or tables; rows that share a doc_id are one document, whose
     windows are counted by place; repeated items count once. Texts of any length are read whole;
@@ -281,8 +282,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, min_words: int = MI
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS t FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS t FROM benchmark),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), 'WORD') AS t FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), 'WORD') AS t FROM benchmark),
 g AS (SELECT DISTINCT item_id, least(8, len(t)) AS n, array_to_string(list_slice(t, i, i + least(8, len(t)) - 1), ' ') AS gram
       FROM (SELECT item_id, t, unnest(range(1, len(t) - least(8, len(t)) + 2)) AS i FROM b WHERE len(t) >= 5)),
 w AS (SELECT doc_id, n, i - 1 AS pos, array_to_string(list_slice(t, i, i + n - 1), ' ') AS gram
@@ -290,4 +291,4 @@ w AS (SELECT doc_id, n, i - 1 AS pos, array_to_string(list_slice(t, i, i + n - 1
 SELECT doc_id, item_id, CAST(count(DISTINCT pos) AS INTEGER) AS n_windows, CAST(min(pos) AS INTEGER) AS first_word,
        CAST(max(pos + w.n - 1) AS INTEGER) AS last_word
 FROM w JOIN g ON w.n = g.n AND w.gram = g.gram GROUP BY doc_id, item_id
-"""
+""".replace("WORD", WORD_REGEX)
