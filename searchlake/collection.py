@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .errors import InvalidParam
 from .functions.analysis import Analyzer
-from .operators import mutations, postings
+from .operators import mutations, postings, ranking
 from .operators.graph_index import GraphIndex
 from .plans import parser
 from .plans.compiler import Compiler, IndexedCompiler
@@ -107,6 +107,25 @@ class Collection:
         paths = [f"{self.storage.path}/{p}" for key, p in m["postings"].items() if key.partition("|")[2] == f.name]
         return postings.PostingsIndex.open(self.spark, paths, Analyzer(f.text), self._gone(m)) if paths else None
 
+    def vocabulary(self, field: str) -> DataFrame:
+        """(token, df) of a text field: from its postings, or from the texts where it is not indexed."""
+        own, m = self.schema.fields.get(field), self.storage.manifest()
+        if own is None or own.type is not FieldType.TEXT:
+            raise InvalidParam(f"{field!r} is no text field")
+        index = self._postings(own, m) if field in m["indexed"] else None
+        if index is not None:
+            return index.vocabulary()
+        tokens = self.scan().select(F.explode(F.array_distinct(Analyzer(own.text).tokens(F.col(f"`{field}`")))).alias("token"))
+        return postings.document_frequencies(tokens)
+
+    def suggest(self, field: str, prefix: str, n: int = 10) -> DataFrame:
+        """The most frequent n tokens of a field that begin with a prefix."""
+        return ranking.suggest(self.vocabulary(field), prefix, n)
+
+    def near_terms(self, field: str, word: str, distance: int = 1) -> DataFrame:
+        """(token, df) of a field within an edit distance of a word."""
+        return ranking.near_terms(self.vocabulary(field), word, distance)
+
     def _near(self, field: str, m: dict, query: list[float], k: int, allowed: DataFrame | None) -> DataFrame | None:
         """(_id) of what the graphs of all segments find; None where there is no graph of the field."""
         found, asked = None, self.spark.createDataFrame([(0, query)], "query_id bigint, vector array<double>")

@@ -83,6 +83,10 @@ class PostingsIndex:
             posts, lengths = (df.join(deleted.select("_id"), "_id", "left_anti") for df in (posts, lengths))
         return cls(posts, lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")), analyzer)
 
+    def vocabulary(self) -> DataFrame:
+        """(token, df), from the postings alone."""
+        return document_frequencies(self.posts)
+
     def _hits(self, tokens: list[str]) -> DataFrame:
         return self.posts.filter(F.col("token").isin(tokens))
 

@@ -25,6 +25,8 @@ from ..functions import vectors
 
 #: Vectors in a block, queries that are ranked at a time, and queries that a task holds at most, on average.
 BLOCK, SLICE, HELD = 4096, 256, 65_536
+#: Vectors on which centres and codebooks are fitted, at most.
+FIT_ROWS = 16_384
 RESULT = "query_id bigint, _id bigint, distance double"
 
 
@@ -215,6 +217,36 @@ def kmeans(df: DataFrame, k: int, id_col: str = "_id", vector_col: str = "vector
     return np.array(model.clusterCenters()), model.transform(rows).select("_id", F.col("prediction").alias("cell"))
 
 
+def sampled(rows: DataFrame, n: int = FIT_ROWS) -> np.ndarray:
+    """The vectors of at most n rows (_id, v), those of least hash."""
+    got = rows.orderBy(F.xxhash64("_id"), "_id").limit(n).select("v").toArrow().column(0).combine_chunks()
+    return np.asarray(got.flatten(), np.float64).reshape(len(got), -1) if len(got) else np.zeros((0, 0))
+
+
+def lloyd(x: np.ndarray, k: int, seed: int = 11, iterations: int = 20) -> np.ndarray:
+    """At most k centres of a sample: seeds drawn far from each other, then Lloyd's rounds; a centre without points goes to the farthest one."""
+    rng = np.random.default_rng(seed)
+    centres = x[[rng.integers(len(x))]]
+    near = distances(x, centres, "euclidean")[:, 0]
+    while len(centres) < k and near.max() > 0:
+        centres = np.append(centres, x[[rng.choice(len(x), p=near / near.sum())]], axis=0)
+        near = np.minimum(near, distances(x, centres[-1:], "euclidean")[:, 0])
+    for _ in range(iterations):
+        d = distances(x, centres, "euclidean")
+        own, n = d.argmin(axis=1), np.zeros(len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        np.add.at(n, own, 1)
+        after = total / np.maximum(1, n)[:, None]
+        far = np.argsort(-d.min(axis=1), kind="stable")
+        for j, c in enumerate(np.flatnonzero(n == 0)):
+            after[c] = x[far[j]]
+        if np.array_equal(after, centres):
+            break
+        centres = after
+    return centres
+
+
 def medoids(df: DataFrame, k: int, id_col: str = "_id", vector_col: str = "vector", seed: int = 11) -> DataFrame:
     """(cell, _id, distance): of each k-means cell the vector nearest to its mean."""
     centres, cells = kmeans(df, k, id_col, vector_col, seed)
@@ -224,6 +256,21 @@ def medoids(df: DataFrame, k: int, id_col: str = "_id", vector_col: str = "vecto
     return near.groupBy("cell").agg(F.min(F.struct("distance", "_id")).alias("m")).select("cell", "m._id", "m.distance")
 
 
+def _encoded(base: DataFrame, centres: np.ndarray, book: np.ndarray) -> DataFrame:
+    """(_id, cell, code, v) of (cell, _id, v): for each subspace the nearest code of what is left after the cell's centre."""
+    subspaces, width = len(book), book.shape[2]
+
+    def encode(batches):
+        for b in batches:
+            if b.num_rows:
+                v = np.asarray(b.column(2).flatten()).reshape(b.num_rows, -1)
+                r = (v - centres[b.column(1).to_numpy()]).reshape(b.num_rows, subspaces, width)
+                codes = np.stack([((r[:, s, None, :] - book[s][None]) ** 2).sum(-1).argmin(1) for s in range(subspaces)], axis=1).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(2)], ["_id", "cell", "code", "v"])
+
+    return base.select("_id", "cell", "v").mapInArrow(encode, "_id bigint, cell int, code binary, v array<double>")
+
+
 class IvfIndex:
     """Inverted file, with or without product quantisation of what is left after the cell's centre.
 
@@ -237,37 +284,41 @@ class IvfIndex:
 
     @classmethod
     def build(cls, df: DataFrame, id_col: str = "_id", vector_col: str = "vector", cells: int = 256, subspaces: int = 0, bits: int = 4, seed: int = 11, copies: int = 1) -> IvfIndex:
-        """subspaces > 0 adds product quantisation: that many codes of so many bits for each vector."""
+        """subspaces > 0 adds product quantisation: that many codes of so many bits for each vector. Centres and codebooks are fitted on at most FIT_ROWS vectors; all are indexed."""
         base = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vector_col).cast("array<double>").alias("v"))
         base = base.filter(vectors.is_valid(F.col("v")))
-        if cells > 1:
-            centres, _ = kmeans(base, cells, "_id", "v", seed)
-            base = nearest_cells(base, centres, copies)
-        else:
-            dim = len(base.first()["v"])
-            centres, base = np.zeros((1, dim)), base.withColumn("cell", F.lit(0))
+        sample = sampled(base)
+        if not len(sample):
+            raise InvalidParam("no vector to index")
+        dim = sample.shape[1]
+        base = base.filter(F.size("v") == dim)
+        centres = lloyd(sample, cells, seed) if cells > 1 else np.zeros((1, dim))
+        base = nearest_cells(base, centres, copies)
         if not subspaces:
             return cls(base, centres, None, copies=copies)
-        dim = centres.shape[1]
         if dim % subspaces:
             raise InvalidParam(f"dimension {dim} does not split into {subspaces}")
-        width = dim // subspaces
-        means = base.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
-        rest = base.join(F.broadcast(means), "cell").withColumn("r", F.zip_with("v", "centre", lambda x, y: x - y)).select("_id", "cell", "r", "v")
-        books = []
+        width, books = dim // subspaces, []
+        left = sample - centres[distances(sample, centres, "euclidean").argmin(axis=1)]
         for s in range(subspaces):
-            c, _ = kmeans(rest.select("_id", F.slice("r", s * width + 1, width).alias("part")), 1 << bits, "_id", "part", seed + s, 10)
+            c = lloyd(left[:, s * width : (s + 1) * width], 1 << bits, seed + s)
             books.append(np.pad(c, ((0, (1 << bits) - len(c)), (0, 0)), constant_values=np.inf) if len(c) < 1 << bits else c)
         book = np.stack(books)
 
-        def encode(batches):
-            for b in batches:
-                if b.num_rows:
-                    r = np.asarray(b.column(2).flatten()).reshape(b.num_rows, subspaces, width)
-                    codes = np.stack([((r[:, s, None, :] - book[s][None]) ** 2).sum(-1).argmin(1) for s in range(subspaces)], axis=1).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(3)], ["_id", "cell", "code", "v"])
+        return cls(_encoded(base, centres, book), centres, book, copies=copies)
+
+    def add(self, df: DataFrame, id_col: str = "_id", vector_col: str = "vector") -> IvfIndex:
+        """An index of more vectors, by the same centres and codebooks; build() anew where the added ones are of another kind."""
+        more = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vector_col).cast("array<double>").alias("v"))
+        more = nearest_cells(more.filter(vectors.is_valid(F.col("v"), self.centres.shape[1])), self.centres, self.copies)
+        if self.books is not None:
+            more = _encoded(more, self.centres, self.books)
+        return IvfIndex(self.rows.unionByName(more), self.centres, self.books, self.metric, self.copies)
 
-        return cls(rest.mapInArrow(encode, "_id bigint, cell int, code binary, v array<double>"), centres, book, copies=copies)
+    def info(self) -> dict:
+        """Number of vectors, dimension, cells, copies, and subspaces of the codes."""
+        n = self.rows.select("_id").distinct().count()
+        return {"n": n, "dimension": self.centres.shape[1], "cells": len(self.centres), "copies": self.copies, "subspaces": 0 if self.books is None else len(self.books)}
 
     def search(self, queries: DataFrame, k: int, probes: int = 8, allowed: DataFrame | None = None, share: float = 0.5) -> DataFrame:
         """allowed: a DataFrame of _id that may be found. share: of each block of vectors, the part that is nearest by codes and is ranked by exact distances."""

@@ -13,6 +13,7 @@ from ..operators import ranking
 from ..scratch import shared_dir
 from ..types import Field, FieldType, Schema, VectorOption
 from .base import query, read
+from .rank import VOCABULARY
 from .text import _phrase_sql, bm25_sql, rounded
 from .vector import METRIC_SQL, Q
 
@@ -88,6 +89,18 @@ def collection_knn(spark, sf_dir):
     return c.search(f"label < 5 AND embedding = knn('{q}', k=12)", ["vec_id"], limit=12).select("vec_id", F.round(F.col("_score") - 1, 5).alias("distance"))
 
 
+@query(f"SELECT token, df FROM {VOCABULARY} WHERE starts_with(token, 'ther') ORDER BY df DESC, token LIMIT 10")
+def collection_suggest(spark, sf_dir):
+    """Suggestions from a collection's postings, of which only tokens are read."""
+    return documents(spark, sf_dir).suggest("text", "ther", 10)
+
+
+@query(f"SELECT token, df FROM {VOCABULARY} WHERE levenshtein(token, 'thereon') <= 1")
+def collection_typo_terms(spark, sf_dir):
+    """Words of a collection's postings within one edit of a word."""
+    return documents(spark, sf_dir).near_terms("text", "thereon", 1)
+
+
 def _customers(spark, sf_dir) -> Collection:
     """All customers, then an upsert of the even ones with more money and a delete of those divisible by three."""
     c = fresh(spark, sf_dir, "customer", "c_custkey", ["c_custkey", "c_acctbal"])

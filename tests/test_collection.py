@@ -313,3 +313,16 @@ def test_saved_codes_are_ranked_alike(spark, tmp_path):
     got = IvfIndex.load(spark, f"file://{tmp_path}/ivf").search(queries, 3, probes=2)
     # the distance is exact, so that every vector is nearest to itself
     assert got.filter("rank = 1 AND query_id = _id AND distance < 1e-9").count() == 300
+
+
+def test_index_that_grows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [1.0]), (901, None)], "_id bigint, vector array<double>")
+    queries = df.filter("_id % 50 = 0").withColumnRenamed("_id", "query_id")
+    for parameters in ({}, {"subspaces": 4}):
+        index = IvfIndex.build(df.filter("_id < 300 OR _id >= 900"), cells=4, copies=2, **parameters).add(df.filter("_id >= 300"))
+        assert index.info() == {"n": 600, "dimension": 8, "cells": 4, "copies": 2, "subspaces": parameters.get("subspaces", 0)}
+        got = {(r["query_id"], r["_id"]) for r in index.search(queries, 5, probes=4).collect()}
+        want = {(i, j) for i in range(0, 600, 50) for j in np.argsort(((x - x[i]) ** 2).sum(axis=1))[:5].tolist()}
+        assert len(got & want) / len(want) > 0.85
