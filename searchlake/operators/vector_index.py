@@ -218,9 +218,13 @@ def kmeans(df: DataFrame, k: int, id_col: str = "_id", vector_col: str = "vector
 
 
 def sampled(rows: DataFrame, n: int = FIT_ROWS) -> np.ndarray:
-    """The vectors of at most n rows (_id, v), those of least hash."""
-    got = rows.orderBy(F.xxhash64("_id"), "_id").limit(n).select("v").toArrow().column(0).combine_chunks()
-    return np.asarray(got.flatten(), np.float64).reshape(len(got), -1) if len(got) else np.zeros((0, 0))
+    """The vectors of at most n rows (_id, v), those of least hash; of several dimensions the commonest among them."""
+    got = rows.filter("size(v) > 0").orderBy(F.xxhash64("_id"), "_id").limit(n).select("v").toArrow().column(0).combine_chunks()
+    if not len(got):
+        return np.zeros((0, 0))
+    size = got.value_lengths().to_numpy()
+    dim = int(np.bincount(size).argmax())
+    return np.asarray(got.filter(pa.array(size == dim)).flatten(), np.float64).reshape(-1, dim)
 
 
 def lloyd(x: np.ndarray, k: int, seed: int = 11, iterations: int = 20) -> np.ndarray:
