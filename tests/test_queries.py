@@ -70,6 +70,7 @@ PUSHED = {
 
 @pytest.mark.parametrize("name", sorted(PUSHED))
 def test_predicates_reach_the_scan(spark, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     pushed = " ".join(line[line.index("PushedFilters:") :] for line in plan.splitlines() if "PushedFilters:" in line)
     assert all(word in pushed for word in PUSHED[name]), pushed
