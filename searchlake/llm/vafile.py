@@ -247,10 +247,10 @@ def nearest(vectors: DataFrame, k: int = K, block_rows: int = BLOCK, bits: int =
         def read(batches):
             ids = x = None
             for b in batches:
-                kind = b.column(1).to_numpy()
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(kind) != 0) + 1, [len(kind)]]) if len(kind) else []
+                turns = b.column(1).to_numpy()
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(turns) != 0) + 1, [len(turns)]]) if len(turns) else []
                 for a, z in zip(cuts[:-1], cuts[1:]):
-                    if kind[a] == 0:  # of several blocks in a row none but the last is asked for
+                    if turns[a] == 0:  # of several blocks in a row none but the last is asked for
                         ids = np.frombuffer(b.column(5)[int(z) - 1].as_buffer(), np.int64)
                         x = codes.scaled(np.frombuffer(b.column(6)[int(z) - 1].as_buffer(), kind).reshape(-1, dim))
                         continue
