@@ -62,13 +62,14 @@ def minhash(data: np.ndarray, offs: np.ndarray, symbols: int = SYMBOLS, shingle:
 def _signed(rows: DataFrame, symbols: int) -> DataFrame:
     """The key columns of (keys ..., text) with the text's signature; texts without a word are left out."""
     keys = rows.drop("text")
+    names = keys.columns
 
     def run(batch):
         for lo, _, data, offs in texts(lowered(batch.column("text"))):
             row, sig = minhash(data, offs, symbols)
             if len(row):
-                own = [batch.column(k).take(pa.array(row + lo)) for k in keys.columns]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in sig], pa.binary())], [*keys.columns, "sig"])
+                own = [batch.column(k).take(pa.array(row + lo)) for k in names]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in sig], pa.binary())], [*names, "sig"])
 
     return map_arrow(rows, run, with_fields(keys.schema, sig=T.BinaryType()))
 
