@@ -112,19 +112,19 @@ def _customers(spark, sf_dir) -> Collection:
     return c
 
 
-@query("SELECT c_custkey, round(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 100 ELSE c_acctbal END, 1) AS bal FROM customer WHERE c_custkey % 3 <> 0")
+@query("SELECT c_custkey, round(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 100 ELSE c_acctbal END, 4) AS bal FROM customer WHERE c_custkey % 3 <> 0")
 def collection_changes(spark, sf_dir):
     """Every customer appended, then upserted, deleted or left alone, and the whole compacted."""
     c = _customers(spark, sf_dir)
     c.persist()
-    return c.scan().select("c_custkey", F.round(F.get_json_object("_data", "$.c_acctbal").cast("double"), 1).alias("bal"))
+    return c.scan().select("c_custkey", F.round(F.get_json_object("_data", "$.c_acctbal").cast("double"), 4).alias("bal"))
 
 
-@query("SELECT c_custkey, round(c_acctbal + 100, 1) AS bal FROM customer WHERE c_custkey = 4")
+@query("SELECT c_custkey, round(c_acctbal + 100, 4) AS bal FROM customer WHERE c_custkey = 4")
 def collection_get(spark, sf_dir):
     """The latest record of a name, after it was replaced."""
     found = _customers(spark, sf_dir).get("customer-4")
-    return found.select(F.get_json_object("_data", "$.c_custkey").cast("bigint").alias("c_custkey"), F.round(F.get_json_object("_data", "$.c_acctbal").cast("double"), 1).alias("bal"))
+    return found.select(F.get_json_object("_data", "$.c_custkey").cast("bigint").alias("c_custkey"), F.round(F.get_json_object("_data", "$.c_acctbal").cast("double"), 4).alias("bal"))
 
 
 @query("""SELECT n, n_deleted FROM (SELECT count(*) FILTER (WHERE c_custkey % 3 <> 0 AND c_custkey % 2 <> 0) AS n, count(*) FILTER (WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0) AS n_deleted FROM customer)
