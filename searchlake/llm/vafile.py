@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from .common import Scratch, map_arrow
 
 #: Neighbours, bits of a code, vectors in a block, queries in a part, and candidates that a task keeps before it hands them on.
-K, BITS, BLOCK, QUERIES, HELD = 10, 6, 4096, 1024, 1 << 20
+K, BITS, BLOCK, QUERIES, HELD = 10, 8, 4096, 1024, 1 << 20
 #: Scaled distances that differ by less are ties, as they are rounded to nine digits.
 TIE = 2e-9
 RESULT = "query_id bigint, rank int, vec_id bigint, distance double"
