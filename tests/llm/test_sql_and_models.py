@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -182,6 +183,62 @@ def test_toxicity_sample_is_bounded_in_bytes(spark):
     assert seen[0] <= 800 < seen[1]
 
 
+def labelled(spark, toxic, clean, late):
+    """Short texts, toxic if they say vile, or foul in the toxic rows that come after the first `late` by the hash of their id."""
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id")))
+    docs = spark.range(toxic + clean).select(F.col("id").alias("doc_id"), (F.col("id") < toxic).cast("int").alias("toxic"))
+    bad = F.when(F.col("toxic") == 0, "kind").when(place <= late, "vile").otherwise("foul")
+    text = F.concat_ws(" ", F.concat(F.lit("a"), F.col("doc_id") % 50), bad, F.concat(F.lit("b"), F.col("doc_id") % 37), F.concat(F.lit("n"), F.col("doc_id")))
+    return docs.select("doc_id", text.alias("text"), F.lit("en").alias("lang"), "toxic").localCheckpoint()
+
+
+@pytest.mark.parametrize("shard_bytes", [None, 1 << 15])
+def test_toxicity_fits_all_labels(spark, shard_bytes, monkeypatch):
+    """A word that stands in no toxic text among the first 8000 by hash."""
+    if shard_bytes:
+        monkeypatch.setattr(toxicity, "SHARD_BYTES", shard_bytes)
+    docs = labelled(spark, 9000, 600, 8000)
+    want = {r.doc_id for r in docs.filter("toxic = 1").collect()}
+    assert docs.filter("text LIKE '% foul %'").count() == 1000
+    assert {r.doc_id for r in toxicity.find_toxic(docs.drop("toxic"), docs.select("doc_id", "toxic")).collect()} == want
+
+
+def test_toxicity_in_shards(spark, monkeypatch):
+    """Every text to train on is trained on once in each epoch, every other one calibrates; no way of joining or partitioning changes the model."""
+    docs = labelled(spark, 300, 900, 200)
+    docs, labels = docs.drop("toxic").union(docs.drop("toxic").filter("doc_id < 100")), docs.select("doc_id", "toxic")
+    read, fit = [], toxicity.fit_shards
+
+    def kept(packed, weights):
+        read.append([x for b in packed.toArrow().to_batches() for x in toxicity.unpack(b)])
+        return fit(packed, weights, epochs=2)
+
+    monkeypatch.setattr(toxicity, "fit_shards", kept)
+    a = toxicity.train(docs, labels, shard_bytes=2000)
+    b = toxicity.train(docs.repartition(7).sortWithinPartitions("text"), labels.repartition(3), shard_bytes=2000, max_broadcast=0)
+    assert a.thresholds == b.thresholds and (a.flat() == b.flat()).all()
+    for one in read:
+        assert len({x[0] for x in one}) > 5 and sum(len(x[2]) for x in one) == 1200 and sum(x[3].sum() for x in one) == 300
+        assert all(x[1] == toxicity.held_out(r.astype(np.int32).tobytes()) for x in one for r in x[2])
+    rows, y, held = [r for x in read[0] for r in x[2]], np.concatenate([x[3] for x in read[0]]), np.concatenate([[x[1]] * len(x[2]) for x in read[0]])
+    start, some = toxicity.TextCnn(), [r for r, h in zip(rows, held) if not h]
+    start.start(*toxicity.counts(some, y[~held]), y[~held].mean())
+    p, one = np.round(a.score([r for r, h in zip(rows, held) if h]).astype(np.float64), 6), toxicity.TextCnn()
+    one.calibrate(p, y[held], ["en"] * int(held.sum()), np.ones(int(held.sum())))
+    assert one.thresholds == a.thresholds
+    unseen = np.setdiff1d(np.arange(toxicity.BUCKETS), np.concatenate(some))
+    assert (a.emb[unseen] == start.emb[unseen]).all() and (a.emb[some[0]] != start.emb[some[0]]).any()
+
+
+def test_flat_parameters_come_back():
+    m = small_cnn()
+    was, texts = m.flat(), [np.array([1, 2, 3]), np.array([4])]
+    p = m.score(texts)
+    other = small_cnn(8)
+    other.load(was)
+    assert (other.flat() == was).all() and (other.score(texts) == p).all()
+
+
 def test_secrets_in_long_runs_and_texts(spark):
     rng = np.random.default_rng(23)
     letters = list(string.ascii_letters + string.digits)
