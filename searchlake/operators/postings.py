@@ -1,8 +1,9 @@
 """A full-text index as tables: postings with positions, document lengths, statistics.
 
 The index pays off when one collection is queried often: a query reads the postings of its
-tokens only. Written postings are sorted by token within hash buckets, so that a token filter
-skips all but a few row groups.
+tokens only. Each task writes the postings of its own texts in runs that are sorted by token, so
+that a token filter skips most pages of each file; nothing is shuffled or sorted as a whole, and
+the commonest tokens are in all files alike.
 """
 
 from __future__ import annotations
@@ -11,41 +12,67 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..batches import bounded
 from ..functions.analysis import Analyzer
 from ..plans.compiler import bm25, phrase_match
 
+#: Tokens that are sorted at a time, about, and in a written run; a longer text is taken whole.
+PIECE, RUN = 1 << 18, 1 << 20
+
+
+def _pieces(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Consecutive rows (from, to) with about so many tokens in each, given the rows' numbers of tokens."""
+    cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // most)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)]))
+
 
 def doc_lengths(df: DataFrame, field: str, analyzer: Analyzer = Analyzer(), id_col: str = "_id") -> DataFrame:
     """(_id, dl): the token counts of the texts that have tokens."""
     return df.select(F.col(id_col).alias("_id"), F.size(analyzer.tokens(F.col(f"`{field}`"))).alias("dl")).filter("dl > 0")
 
 
-def postings(df: DataFrame, field: str, analyzer: Analyzer = Analyzer(), id_col: str = "_id") -> DataFrame:
-    """(_id, token, tf, positions, dl), one row for each token of each text: all of a text's tokens are in its row, so nothing is shuffled."""
+def _sorted(b: pa.RecordBatch, by_token: bool):
+    """The postings of a batch (_id, tokens), sorted by text or by token."""
+    lists = b.column(1)
+    size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+    if not len(flat):
+        return
+    row, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    coded = flat.dictionary_encode()
+    code = coded.indices.to_numpy()
+    if by_token:
+        rank = np.empty(len(coded.dictionary), np.int64)
+        rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+        key = rank[code] * len(size) + row
+    else:
+        key = row * len(coded.dictionary) + code
+    order = np.argsort(key, kind="stable")  # so that positions stay in order
+    start = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    ends, at = np.append(start, len(order)).astype(np.int32), row[order[start]]
+    places = pa.ListArray.from_arrays(pa.array(ends), pa.array((order - first[row[order]]).astype(np.int32)))
+    cols = [b.column(0).take(pa.array(at)), coded.dictionary.take(pa.array(code[order[start]])), pa.array(np.diff(ends)), places, pa.array(size[at].astype(np.int32))]
+    yield pa.RecordBatch.from_arrays(cols, ["_id", "token", "tf", "positions", "dl"])
+
+
+def postings(df: DataFrame, field: str, analyzer: Analyzer = Analyzer(), id_col: str = "_id", by_token: bool = False) -> DataFrame:
+    """(_id, token, tf, positions, dl), one row for each token of each text: all of a text's tokens are in its row, so nothing is shuffled.
+
+    by_token: in runs sorted by token.
+    """
     tokens = df.select(F.col(id_col).alias("_id"), analyzer.tokens(F.col(f"`{field}`")).alias("t")).filter("size(t) > 0")
 
     def run(batches):
         for b in batches:
-            lists = b.column(1)
-            size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
-            if not len(flat):
-                continue
-            row, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
-            coded = flat.dictionary_encode()
-            code = coded.indices.to_numpy()
-            order = np.lexsort((code, row))  # stable, so that positions stay in order
-            start = np.flatnonzero(np.append(True, (np.diff(row[order]) != 0) | (np.diff(code[order]) != 0)))
-            ends, at = np.append(start, len(order)).astype(np.int32), row[order[start]]
-            places = pa.ListArray.from_arrays(pa.array(ends), pa.array((order - first[row[order]]).astype(np.int32)))
-            cols = [b.column(0).take(pa.array(at)), coded.dictionary.take(pa.array(code[order[start]])), pa.array(np.diff(ends)), places, pa.array(size[at].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["_id", "token", "tf", "positions", "dl"])
+            for lo, hi in _pieces(np.diff(b.column(1).offsets.to_numpy()), RUN if by_token else PIECE):
+                yield from _sorted(b.slice(lo, hi - lo), by_token)
 
     schema = T.StructType([tokens.schema["_id"], *T.StructType.fromDDL("token string, tf int, positions array<int>, dl int").fields])
-    return tokens.mapInArrow(run, schema)
+    return bounded(tokens).mapInArrow(run, schema)
 
 
 def document_frequencies(posts: DataFrame) -> DataFrame:
@@ -54,11 +81,12 @@ def document_frequencies(posts: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, field: str, path: str, analyzer: Analyzer = Analyzer(), id_col: str = "_id", buckets: int | None = None) -> None:
-    """Write a text field's postings, sorted by token, and the lengths of its texts."""
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = postings(df, field, analyzer, id_col)
-    rows.repartitionByRange(n, "token").sortWithinPartitions("token", "_id").write.mode("overwrite").parquet(f"{path}/postings")
-    doc_lengths(df, field, analyzer, id_col).write.mode("overwrite").parquet(f"{path}/lengths")
+    """Write a text field's postings, in runs sorted by token, and the lengths of its texts; buckets: files, if not as many as tasks."""
+    rows = postings(df if buckets is None else df.repartition(buckets), field, analyzer, id_col, by_token=True)
+    rows.write.mode("overwrite").parquet(f"{path}/postings")
+    # each text has one token at position 0, so that no text is tokenised again
+    made = df.sparkSession.read.schema(rows.schema).parquet(f"{path}/postings")
+    made.filter(F.col("positions")[0] == 0).select("_id", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 @dataclass
