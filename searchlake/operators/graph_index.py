@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..scratch import written
-from .vector_index import RESULT, best, meet, packed, part_of, parts_for, valid_queries
+from .vector_index import RESULT, best, cores_of, meet, packed, part_of, parts_for, valid_queries
 
 SHARD_ROWS = 50_000
 
@@ -220,7 +220,7 @@ class GraphIndex:
             return queries.sparkSession.createDataFrame([], RESULT + ", rank int")
         total = self.graphs.select("shards").first()[0]
         valid = valid_queries(queries)
-        parts = parts_for(queries, max(1, len(shards)), max(1, len(shards)))
+        parts = max(parts_for(queries, len(shards), len(shards)), -(-2 * cores_of(queries) // len(shards)))
         each = valid.withColumn("cell", F.explode(F.array(*map(F.lit, shards)).cast("array<int>")))
         asks = packed(each.select(part_of(parts), "cell", "_id", "v", F.lit(None).alias("more")))
         keep = allowed is not None
@@ -245,7 +245,7 @@ class GraphIndex:
             # the ids go to their shard, of which there are no more than a shard holds
             own = listed.select(F.col("_id").cast("bigint").alias("_id")).distinct().select(_shard(F.lit(total)).cast("bigint").alias("cell"), "_id")
             data = data.join(own.groupBy("cell").agg(F.collect_list("_id").alias("listed")), "cell", "left").mapInArrow(_ids_as_bytes, "cell bigint, ids binary, vectors binary, more binary")
-        return best(meet(asks, data, parts, parts * len(shards), k, walk), k)
+        return best(meet(asks, data.withColumn("part", F.lit(0)), parts, parts * len(shards), k, walk), k)
 
     def save(self, path: str) -> None:
         self.graphs.write.mode("overwrite").parquet(path)

@@ -21,6 +21,8 @@ from searchlake.operators import mutations
 from searchlake.operators.graph_index import Hnsw
 from searchlake.operators.postings import PostingsIndex
 from searchlake.operators.ranking import haversine_km
+from searchlake import batches
+from searchlake.operators import postings, vector_index
 from searchlake.operators.vector_index import FlatIndex, IvfIndex, distances
 from searchlake.plans import parser
 from searchlake.plans.compiler import Compiler
@@ -309,3 +311,46 @@ def test_index_that_grows(spark):
         got = {(r["query_id"], r["_id"]) for r in index.search(queries, 5, probes=4).collect()}
         want = {(i, j) for i in range(0, 600, 50) for j in np.argsort(((x - x[i]) ** 2).sum(axis=1))[:5].tolist()}
         assert len(got & want) / len(want) > 0.85
+
+
+def test_postings_are_written_by_the_tasks_that_make_them(spark, tmp_path):
+    """No exchange, whatever the shuffle partitions; runs are sorted by token, and lengths are those of the texts."""
+    texts = [(i, " ".join(f"w{(i * 7 + j * j) % 50}" for j in range(i % 30))) for i in range(300)]
+    df = spark.createDataFrame(texts, "_id bigint, t string").coalesce(1)
+    postings.write(df, "t", f"file://{tmp_path}/p")
+    assert len(list((tmp_path / "p/postings").glob("*.parquet"))) == 1
+    made = spark.read.parquet(f"file://{tmp_path}/p/postings").collect()
+    assert [(r["token"], r["_id"]) for r in made] == sorted((t, i) for i, text in texts for t in set(text.split()))
+    lengths = spark.read.parquet(f"file://{tmp_path}/p/lengths").collect()
+    assert sorted(map(tuple, lengths)) == [(i, len(text.split())) for i, text in texts if text]
+
+
+def test_postings_are_made_in_pieces():
+    assert postings._pieces(np.array([5, 5, 5, 40, 1, 0]), 10) == [(0, 2), (2, 4), (4, 6)]
+    assert postings._pieces(np.zeros(0, int), 10) == [(0, 0)]
+
+
+def test_few_queries_are_sent_instead_of_vectors(spark):
+    """lsh: a vector is shuffled once, not once for each table and part; the ten nearest of those that share a bucket."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], "_id bigint, vector array<double>")
+    queries = df.limit(12).withColumnRenamed("_id", "query_id")
+    assert vector_index.parts_for(queries, 1) == 1 and vector_index.slices_for(queries, 1, 1) == 8
+    found = vector_index.lsh_search(df, queries, 10, tables=3)
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    exact = {(r["query_id"], r["_id"]): r["distance"] for r in FlatIndex(df).search(queries, 600).collect()}
+    got = found.collect()
+    assert got and all(abs(exact[r["query_id"], r["_id"]] - r["distance"]) < 1e-9 for r in got)
+    assert {r["query_id"] for r in got if r["rank"] == 1 and r["_id"] == r["query_id"]} == {r["query_id"] for r in queries.collect()}
+
+
+def test_blocks_come_in_bounded_batches(spark):
+    """Blocks of 4096 vectors are megabytes each; ten thousand of them must not come to a worker at a time."""
+    old = spark.conf.get(batches.CONF, None)
+    spark.conf.unset(batches.CONF)
+    try:
+        df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)], "_id bigint, vector array<double>")
+        IvfIndex.build(df, cells=1, subspaces=2, bits=2).search(df.limit(3).withColumnRenamed("_id", "query_id"), 2, probes=1)
+        assert int(spark.conf.get(batches.CONF, None)) == batches.BATCH_BYTES
+    finally:
+        spark.conf.unset(batches.CONF) if old is None else spark.conf.set(batches.CONF, old)
