@@ -20,6 +20,8 @@ from ..scratch import written
 from .vector_index import RESULT, best, cores_of, meet, packed, part_of, parts_for, valid_queries
 
 SHARD_ROWS = 50_000
+#: Points that are compared with a shard at a time, and edges that are measured at a time.
+STEP, EDGES = 256, 1 << 16
 
 
 def _d(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -68,6 +70,68 @@ def diverse(vectors_: np.ndarray, candidates: list[tuple[float, int]], m: int) -
     return (kept + spare)[:m]
 
 
+def _before(x: np.ndarray, ef: int):
+    """(from, ids, distances) in blocks of points: the ef nearest, nearest first, of the points before each; -1 and infinity where there are fewer."""
+    norms = (x**2).sum(axis=1)
+    for lo in range(0, len(x), STEP):
+        hi = min(lo + STEP, len(x))
+        d = norms[lo:hi, None] - 2 * x[lo:hi] @ x[:hi].T + norms[:hi]
+        d[np.arange(lo, hi)[:, None] <= np.arange(hi)] = np.inf
+        at = np.argpartition(d, ef - 1, axis=1)[:, :ef] if hi > ef else np.broadcast_to(np.arange(hi), d.shape)
+        near = np.take_along_axis(d, at, axis=1)
+        order = np.argsort(near, axis=1, kind="stable")
+        near = np.maximum(np.take_along_axis(near, order, axis=1), 0)
+        yield lo, np.where(np.isfinite(near), np.take_along_axis(at, order, axis=1), -1), near
+
+
+def _diverse(x: np.ndarray, ids: np.ndarray, dist: np.ndarray, m: int) -> np.ndarray:
+    """diverse() of many points at a time: by row at most m of the candidates ids (nearest first, -1: none), -1 behind them."""
+    out = np.full((len(ids), m), -1, np.int64)
+    for lo in range(0, len(ids), STEP // 2):
+        own, d = ids[lo : lo + STEP // 2], dist[lo : lo + STEP // 2]
+        v = x[np.maximum(own, 0)]
+        length = (v * v).sum(axis=2)
+        apart = length[:, :, None] - 2 * v @ v.transpose(0, 2, 1) + length[:, None, :]
+        kept, count = np.zeros(own.shape, bool), np.zeros(len(own), int)
+        for c in range(own.shape[1]):
+            close = (kept[:, :c] & (apart[:, c, :c] <= d[:, c, None])).any(axis=1)
+            kept[:, c] = (own[:, c] >= 0) & (count < m) & ~close
+            count += kept[:, c]
+        # kept ones first, then the nearest left, in the order of distance
+        order = np.argsort(np.where(own < 0, 2, ~kept), axis=1, kind="stable")[:, :m]
+        found = np.take_along_axis(own, order, axis=1)
+        out[lo : lo + STEP // 2, : found.shape[1]] = found
+    return out
+
+
+def _linked(x: np.ndarray, m: int, ef: int, room: int) -> np.ndarray:
+    """The edges of one layer: of each point at most room neighbours, -1 behind them."""
+    n = len(x)
+    forward = np.full((n, m), -1, np.int64)
+    for lo, at, near in _before(x, ef):
+        forward[lo : lo + len(at)] = _diverse(x, at, near, m)
+    a, slot = np.nonzero(forward >= 0)
+    b = forward[a, slot]
+    a, b = np.concatenate([a, b]), np.concatenate([b, a])  # there and back
+    d = np.concatenate([((x[a[lo : lo + EDGES]] - x[b[lo : lo + EDGES]]) ** 2).sum(axis=1) for lo in range(0, len(a), EDGES)] or [np.zeros(0)])
+    order = np.lexsort((b, d, a))
+    a, b, d = a[order], b[order], d[order]
+    size = np.bincount(a, minlength=n)
+    place = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.full((n, room), -1, np.int64)
+    fits = size[a] <= room
+    out[a[fits], place[fits]] = b[fits]
+    full, width = np.flatnonzero(size > room), 4 * room
+    if len(full):  # too many edges: the nearest of them, pruned
+        row = np.full(n, -1)
+        row[full] = np.arange(len(full))
+        take = (row[a] >= 0) & (place < width)
+        ids, dist = np.full((len(full), width), -1, np.int64), np.full((len(full), width), np.inf)
+        ids[row[a[take]], place[take]], dist[row[a[take]], place[take]] = b[take], d[take]
+        out[full] = _diverse(x, ids, dist, room)
+    return out
+
+
 class Hnsw:
     """A hierarchical navigable small world of one shard."""
 
@@ -76,45 +140,52 @@ class Hnsw:
 
     @classmethod
     def build(cls, ids: np.ndarray, x: np.ndarray, m: int = 16, ef: int = 64, seed: int = 3) -> Hnsw:
+        """On each layer every point is linked to m of the ef nearest among the points before it, and those back to it.
+
+        The ef nearest are found by matrix products, which for a shard take less time than walks;
+        edges are pruned once all are known.
+        """
         rng, n = np.random.default_rng(seed), len(x)
         level = np.minimum((-np.log(rng.random(n)) / np.log(m)).astype(int), 8)
-        layers = [np.full((n, 2 * m if h == 0 else m), -1, np.int32) for h in range(int(level.max(initial=0)) + 1)]
-        entry, top = 0, int(level[0]) if n else 0
-        for i in range(1, n):
-            at = [entry]
-            for h in range(top, int(level[i]), -1):
-                at = [beam(x, layers[h], x[i], at, 1)[0][1]]
-            for h in range(min(top, int(level[i])), -1, -1):
-                found = beam(x, layers[h], x[i], at, ef)
-                room = layers[h].shape[1]
-                own = diverse(x, found, m)
-                layers[h][i, : len(own)] = own
-                for j in own:
-                    back = [k for k in layers[h][j].tolist() if k >= 0]
-                    if len(back) < room:
-                        layers[h][j, len(back)] = i
-                    else:
-                        near = sorted(zip(_d(x[j], x[[*back, i]]).tolist(), [*back, i]))
-                        keep = diverse(x, near, room)
-                        layers[h][j] = -1
-                        layers[h][j, : len(keep)] = keep
-                at = [j for _, j in found]
-            if level[i] > top:
-                entry, top = i, int(level[i])
-        return cls(ids, x, layers, entry)
+        layers = []
+        for h in range(int(level.max(initial=0)) + 1):
+            own, room = np.flatnonzero(level >= h), 2 * m if h == 0 else m
+            table = np.full((n, room), -1, np.int32)
+            linked = _linked(x[own], m, ef, room)
+            table[own] = np.where(linked >= 0, own[linked], -1)
+            layers.append(table)
+        return cls(ids, x, layers, int(level.argmax()) if n else 0)
 
     def search(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
         if not len(self.x):
             return []
         if allowed is not None and allowed.sum() <= 4 * max(k, ef):  # so few are compared faster than found
-            own = np.flatnonzero(allowed)
-            d = _d(q, self.x[own])
-            return [(float(d[j]), int(own[j])) for j in np.lexsort((own, d))[:k]]
+            return self.compare(q[None], k, np.flatnonzero(allowed))[0]
         at = [self.entry]
         for h in range(len(self.layers) - 1, 0, -1):
             at = [beam(self.x, self.layers[h], q, at, 1)[0][1]]
         return beam(self.x, self.layers[0], q, at, max(k, ef), allowed)[:k]
 
+    def compare(self, q: np.ndarray, k: int, own: np.ndarray) -> list[list[tuple[float, int]]]:
+        """For each of several queries the k nearest of some points, exactly; a point's distance is that of a walk."""
+        out, x = [], self.x[own]
+        norms = (x * x).sum(axis=1)
+        for lo in range(0, len(q), STEP):
+            d = norms - 2 * q[lo : lo + STEP] @ x.T
+            more = min(len(own), 2 * k)  # products are rounded otherwise: a few more are measured again
+            near = np.argpartition(d, more - 1, axis=1)[:, :more] if more else np.zeros((len(d), 0), int)
+            for v, j in zip(q[lo : lo + STEP], near):
+                at = own[j]
+                e = _d(v, self.x[at])
+                out.append([(float(e[i]), int(at[i])) for i in np.lexsort((at, e))[:k]])
+        return out
+
+    def search_all(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None):
+        """search() of several queries. Where most points are left out a walk passes many for each that it finds: all that are allowed are then compared."""
+        if allowed is not None and 2 * allowed.sum() < len(allowed):
+            return self.compare(q, k, np.flatnonzero(allowed))
+        return (self.search(v, k, ef, allowed) for v in q)
+
     def dump(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, ids=self.ids, x=self.x, entry=self.entry, **{f"l{h}": a for h, a in enumerate(self.layers)})
@@ -135,25 +206,30 @@ class Ssg(Hnsw):
         near = min(near, max(0, n - 1))
         knn = np.zeros((n, near), np.int32)
         norms = (x**2).sum(1)
-        for lo in range(0, n, 512):
-            d = norms[lo : lo + 512, None] - 2 * x[lo : lo + 512] @ x.T + norms
+        for lo in range(0, n, STEP):
+            d = norms[lo : lo + STEP, None] - 2 * x[lo : lo + STEP] @ x.T + norms
             d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
             if near:
-                knn[lo : lo + 512] = np.argsort(d, axis=1, kind="stable")[:, :near]
+                at = np.argpartition(d, near - 1, axis=1)[:, :near]
+                knn[lo : lo + STEP] = np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, axis=1), axis=1, kind="stable"), axis=1)
         cos = np.cos(np.radians(angle))
         out: list[list[int]] = []
-        for i in range(n):
-            pool = np.unique(np.concatenate([knn[i], knn[knn[i]].ravel()])) if near else np.zeros(0, np.int64)
-            pool = pool[pool != i]
-            way = x[pool] - x[i]
-            length = np.sqrt((way**2).sum(1))
-            kept: list[int] = []
-            for j in np.argsort(length, kind="stable")[:ef].tolist():
-                if len(kept) >= m:
-                    break
-                if length[j] == 0 or not kept or ((way[kept] @ way[j]) <= cos * length[kept] * length[j]).all():
-                    kept.append(j)
-            out.append(pool[kept].tolist())
+        for lo in range(0, n, STEP // 4):
+            own = np.arange(lo, min(lo + STEP // 4, n))
+            pool = np.sort(np.concatenate([knn[own], knn[knn[own]].reshape(len(own), near * near)], axis=1), axis=1)
+            way = x[pool] - x[own, None]
+            length = np.sqrt((way**2).sum(2))
+            again = np.zeros(pool.shape, bool)
+            again[:, 1:] = pool[:, 1:] == pool[:, :-1]
+            order = np.argsort(np.where(again | (pool == own[:, None]), np.inf, length), axis=1, kind="stable")[:, :ef]
+            away = ~np.take_along_axis(again | (pool == own[:, None]), order, axis=1)
+            pool, length, way = np.take_along_axis(pool, order, axis=1), np.take_along_axis(length, order, axis=1), np.take_along_axis(way, order[:, :, None], axis=1)
+            narrow = way @ way.transpose(0, 2, 1) > cos * length[:, :, None] * length[:, None, :]
+            kept, count = np.zeros(pool.shape, bool), np.zeros(len(own), int)
+            for c in range(pool.shape[1]):
+                kept[:, c] = away[:, c] & (count < m) & ((length[:, c] == 0) | ~(kept[:, :c] & narrow[:, c, :c]).any(axis=1))
+                count += kept[:, c]
+            out += [p[k].tolist() for p, k in zip(pool, kept)]
         for i in range(n):  # edges back, while there is room
             for j in list(out[i]):
                 if i not in out[j] and len(out[j]) < m:
@@ -233,10 +309,16 @@ class GraphIndex:
             mask = None if listed_none else np.isin(g.ids, np.frombuffer(more, np.int64)) == keep
             if mask is not None and not mask.any():
                 return
-            for at, v in enumerate(q):
-                if len(v) == g.x.shape[1] and (found := g.search(v, k, width, mask)):
+            if q.shape[1] != g.x.shape[1]:
+                return
+            for lo in range(0, len(q), STEP):
+                row, found = [], []
+                for at, own in enumerate(g.search_all(q[lo : lo + STEP], k, width, mask), lo):
+                    row += [at] * len(own)
+                    found += own
+                if found:
                     d, j = map(np.array, zip(*found))
-                    near.take(np.full(len(d), at), g.ids[j], d)
+                    near.take(np.array(row), g.ids[j], d)
 
         listed_none, data = listed is None, self.graphs.select(F.col("shard").cast("bigint").alias("cell"), F.lit(None).cast("binary").alias("ids"), F.col("graph").alias("vectors"))
         if listed_none:

@@ -9,20 +9,21 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from searchlake import batches
 from searchlake.catalog import Catalog
 from searchlake.errors import DecodeError, InvalidParam, NotExisted, NotSupported, StorageError
+from searchlake.functions import analysis
 from searchlake.functions.analysis import Analyzer, segments
 from searchlake.functions.stemmer import stem
 from searchlake.functions.vectors import split_imbalance
-from searchlake.operators import mutations
-from searchlake.operators.graph_index import Hnsw
+from searchlake.operators import graph_index, mutations, postings, vector_index
+from searchlake.operators.graph_index import Hnsw, Ssg
 from searchlake.operators.postings import PostingsIndex
 from searchlake.operators.ranking import haversine_km
-from searchlake import batches
-from searchlake.operators import postings, vector_index
 from searchlake.operators.vector_index import FlatIndex, IvfIndex, distances
 from searchlake.plans import parser
 from searchlake.plans.compiler import Compiler
@@ -354,3 +355,40 @@ def test_blocks_come_in_bounded_batches(spark):
         assert int(spark.conf.get(batches.CONF, None)) == batches.BATCH_BYTES
     finally:
         spark.conf.unset(batches.CONF) if old is None else spark.conf.set(batches.CONF, old)
+
+
+def test_graphs_of_many_points_are_built_by_products():
+    """A walk for each point took about 6 ms a point; the edges are bounded, and a walk finds the nearest."""
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 5, 3000):
+        x = rng.normal(size=(n, 16))
+        x[: n // 10] = x[0] if n else 0  # copies
+        for kind in (Hnsw, Ssg):
+            g = kind.build(np.arange(n), x)
+            assert all(table.shape[0] == n and table.max(initial=-1) < n and not (table == np.arange(n)[:, None]).any() for table in g.layers)
+            assert len(g.search(np.zeros(16), 10, 50)) == (min(n, 10) if n else 0)
+            if n == 3000:
+                asked = rng.normal(size=(30, 16))
+                exact = np.argsort(distances(asked, x, "euclidean"), axis=1)[:, :10]
+                assert sum(len({j for _, j in g.search(v, 10, 100)} & set(e.tolist())) for v, e in zip(asked, exact)) >= 0.95 * 300
+    assert all(hasattr(graph_index, name) for name in ("_linked", "_before", "_diverse"))
+
+
+def test_few_allowed_points_are_compared_for_all_queries_at_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    x, asked = rng.normal(size=(3000, 8)), rng.normal(size=(20, 8))
+    g = Hnsw.build(np.arange(3000), x)
+    allowed = rng.random(3000) < 0.3
+    monkeypatch.setattr(graph_index, "beam", None)  # no walk, which passes three points for each it finds
+    own = np.flatnonzero(allowed)
+    want = [own[np.argsort(((x[own] - v) ** 2).sum(axis=1))[:10]].tolist() for v in asked]
+    assert [[j for _, j in found] for found in g.search_all(asked, 10, 100, allowed)] == want
+
+
+def test_tokens_of_a_batch_are_made_in_pieces(spark):
+    texts = ["a b", None, "", "can't stop, 3.14!"] * 50
+    made = analysis._by_piece(pa.array(texts), segments)
+    assert made.to_pylist() == [None if t is None else segments(t) for t in texts] and made.type == pa.list_(pa.string())
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i bigint, t string")
+    got = df.select("i", Analyzer(TextOption("uax29", lowercase=False)).tokens(F.col("t")).alias("w")).orderBy("i").collect()
+    assert [r["w"] for r in got] == made.to_pylist()
